@@ -7,11 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import leaks, neardup, split, tokenise
+from folioscope.llm import leaks, neardup, neighbours, split, tokenise
 from folioscope.llm.graph import components
 from folioscope.runtime import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of at least 0.9; a beam of 48 loses none of them, whatever it loses among unrelated vectors."""
+    near = neighbours.most_similar(table(spark, d, "index_vectors"), floor=0.9, ef=48)
+    return near.select(F.col("grp").alias("bundle"), F.least("item", "neighbour").alias("item_a"), F.greatest("item", "neighbour").alias("item_b")).distinct()
+
+
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar of all items, whatever their similarity, for every item whose hash is divisible by 100; all shards are searched."""
+    near = neighbours.most_similar(table(spark, d, "index_vectors"), probes=None, asked=F.pmod(F.xxhash64("item"), F.lit(100)) == 0)
+    return near.select(F.col("grp").alias("bundle"), F.col("item").alias("item_id"), "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_oversized(table(spark, d, "sections"))
 
@@ -57,5 +69,5 @@ def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_found, p4_pieces, p4_members, p6_found, p6_groups, p7_ids, p8_found, p8_spans, p8_cleaned)
+    f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_pieces, p4_members, p6_found, p6_groups, p7_ids, p8_found, p8_spans, p8_cleaned)
 }
