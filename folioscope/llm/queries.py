@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import leaks, neardup, neighbours, split, tokenise
+from folioscope.llm import leaks, mojibake, neardup, neighbours, split, tokenise
 from folioscope.llm.graph import components
 from folioscope.runtime import table
 
@@ -68,6 +68,14 @@ def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return leaks.remove_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled_texts(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_restored(spark, d).select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_pieces, p4_members, p6_found, p6_groups, p7_ids, p8_found, p8_spans, p8_cleaned)
+    f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_pieces, p4_members, p6_found, p6_groups, p7_ids, p8_found, p8_spans, p8_cleaned, p9_found, p9_restored)
 }
