@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import leaks, mojibake, neardup, neighbours, split, tokenise
+from folioscope.llm import leaks, mojibake, names, neardup, neighbours, split, tokenise
 from folioscope.llm.graph import components
 from folioscope.runtime import table
 
@@ -36,6 +36,17 @@ def p4_members(spark: SparkSession, d: str) -> DataFrame:
     return split.new_members(table(spark, d, "sections"), p4_pieces(spark, d))
 
 
+def p5_entities(spark: SparkSession, d: str) -> DataFrame:
+    nick = names.nickname_map(table(spark, d, "nicknames"))
+    author = names.link_variants(names.distinct_names(table(spark, d, "papers"), "authors"), True, nick)
+    organisation = names.link_variants(names.distinct_names(table(spark, d, "header_results"), "affiliations"), False, nick)
+    return author.withColumn("kind", F.lit("author")).unionByName(organisation.withColumn("kind", F.lit("organisation"))).select("kind", "name", "entity")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variant_pairs(p5_entities(spark, d).withColumn("entity", F.struct("kind", "entity"))).select("entity.kind", "name_a", "name_b")
+
+
 def _papers_alike(spark: SparkSession, d: str) -> neardup.NearDuplicates:
     return neardup.near_duplicates(table(spark, d, "papers"), "paper_id", ["title", "abstract", "text"], "ingested_at", n=3, threshold=0.6)
 
@@ -77,5 +88,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_pieces, p4_members, p6_found, p6_groups, p7_ids, p8_found, p8_spans, p8_cleaned, p9_found, p9_restored)
+    f.__name__: f for f in (p1_found, p1_neighbours, p5_found, p5_entities, p4_found, p4_pieces, p4_members, p6_found, p6_groups, p7_ids, p8_found, p8_spans, p8_cleaned, p9_found, p9_restored)
 }
