@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import leaks, mojibake, names, neardup, neighbours, split, tokenise
+from folioscope.llm import leaks, mojibake, names, neardup, neighbours, scans, split, tokenise
 from folioscope.llm.graph import components
 from folioscope.runtime import table
 
@@ -24,6 +24,20 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.col("grp").alias("bundle"), F.col("item").alias("item_id"), "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+def _records(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    papers = table(spark, d, "papers")
+    return scans.scan_records(table(spark, d, "layout_objects"), table(spark, d, "sections"), papers), papers
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.Scan(*_records(spark, d)).kinds()
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    records, papers = _records(spark, d)
+    return scans.Scan(records, papers).repaired(records)
+
+
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_oversized(table(spark, d, "sections"))
 
@@ -88,5 +102,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_neighbours, p5_found, p5_entities, p4_found, p4_pieces, p4_members, p6_found, p6_groups, p7_ids, p8_found, p8_spans, p8_cleaned, p9_found, p9_restored)
+    f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_repaired, p5_found, p5_entities, p4_found, p4_pieces, p4_members, p6_found, p6_groups, p7_ids, p8_found, p8_spans, p8_cleaned, p9_found, p9_restored)
 }

@@ -63,7 +63,7 @@ def strengths(text: str, units: list[tuple[int, int]]) -> list[int]:
     out = [6]
     for (s, e), (t, _) in zip(units, units[1:]):
         gap, tail = text[e:t], text[max(s, e - 4) : e]
-        if gap.count("\n") > 1 or " " in gap:
+        if gap.count("\n") > 1 or "\u2029" in gap:
             out.append(5)
         elif SENTENCE.search(tail):
             out.append(4)
