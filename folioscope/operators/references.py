@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from folioscope.runtime import cut
 
-BLANK = r"(?U)^[\s​﻿]+|[\s​﻿]+$"
+BLANK = r"(?U)^[\s\x{200b}\x{feff}]+|[\s\x{200b}\x{feff}]+$"
 
 
 @dataclass(frozen=True)
