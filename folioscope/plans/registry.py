@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.plans import integrity
+from folioscope.plans import integrity, retrieval
 
-MODULES = (integrity,)
+MODULES = (retrieval, integrity)
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return integrity.p3_report(spark, sf_dir)
+    return retrieval.bm25_topk(spark, sf_dir)

@@ -72,7 +72,7 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def scan_bytes(df: DataFrame) -> int:
     """Catalyst's own estimate of a frame's size in bytes (after pushed projections)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def bounded_broadcast(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
