@@ -20,7 +20,7 @@ from folioscope.functions import text as T
 from folioscope.models import Encoder, Reranker, Verifier, hashed_encoder, threshold_verifier, zero_reranker
 from folioscope.operators import ranking as R
 from folioscope.operators.selection import best_query, verdict_top
-from folioscope.runtime import bounded_broadcast
+from folioscope.runtime import bounded_broadcast, cut
 
 #: Fixed values of the stages.
 SOURCE_LIMIT, POOL, SHORTLIST, TOP_K, SECTIONS, TEXT_LIMIT = 120, 50, 20, 10, 4, 1200
@@ -58,7 +58,8 @@ def _sparse(docs: DataFrame, key: str, queries: DataFrame) -> DataFrame:
 
 
 def _dense(docs: DataFrame, key: str, queries: DataFrame, encoder: Encoder) -> DataFrame:
-    return R.dense(docs.withColumn("v", encoder(F.col("search_text"))), key, "v", queries.withColumn("qv", encoder(F.col("query"))), "qid", "qv")
+    ready = docs if "v" in docs.columns else docs.withColumn("v", encoder(F.col("search_text")))
+    return R.dense(ready, key, "v", queries.withColumn("qv", encoder(F.col("query"))), "qid", "qv")
 
 
 def distinct_queries(plan: Plan) -> tuple[DataFrame, DataFrame]:
@@ -67,6 +68,12 @@ def distinct_queries(plan: Plan) -> tuple[DataFrame, DataFrame]:
     return q, q.select("qid", "query").dropDuplicates(["qid"])
 
 
+def encoded(index: Index, models: Models) -> Index:
+    """The index with vectors, laid down once: every stage reads them, none encodes a document again."""
+    one = lambda df: cut(df.withColumn("v", models.encoder(F.col("search_text"))))
+    return Index(one(index.papers), one(index.sections), one(index.chunks))
+
+
 def candidates(plan: Plan, index: Index, allowed: DataFrame, models: Models, scope_pushdown: bool = False) -> DataFrame:
     """(plan_id, paper_id, coarse): five sources fused by weighted reciprocal ranks, with bonuses; the best POOL.
 
@@ -81,7 +88,7 @@ def candidates(plan: Plan, index: Index, allowed: DataFrame, models: Models, sco
         ranked = R.rank_within(scores.where("score > 0"), ["qid"], "score", "paper_id", SOURCE_LIMIT)
         kept = R.post_limit_scope(ranked, allowed, "paper_id", SOURCE_LIMIT)
         # rankings are renumbered after the scope filter
-        kept = R.rank_within(kept.withColumn("_o", -F.col("rank")).drop("rank"), ["qid"], "_o", "paper_id")
+        kept = cut(R.rank_within(kept.withColumn("_o", -F.col("rank")).drop("rank"), ["qid"], "_o", "paper_id"))
         per = kept.join(bounded_broadcast(q), "qid")
         fused = R.weighted_rrf(per, ["plan_id"], "paper_id", F.when(F.col("kind") == "global", 1.0).otherwise(F.col("weight")))
         sources.append(fused.withColumn("source", F.lit(name)))
@@ -91,7 +98,7 @@ def candidates(plan: Plan, index: Index, allowed: DataFrame, models: Models, sco
     d = R.rank_within(_dense(index.sections, "section_id", texts, models.encoder).where("score > 0"), ["qid"], "score", "section_id", limit)
     mixed = R.mix(s, d, ["qid", "section_id"], 0.55, 0.45).where("score > 0")
     of_paper = mixed.join(index.sections.select("section_id", "paper_id"), "section_id").join(allowed.select("paper_id"), "paper_id", "left_semi")
-    per = R.blend_top3(of_paper, ["qid", "paper_id"], "score", "section_id").join(bounded_broadcast(q), "qid")
+    per = cut(R.blend_top3(of_paper, ["qid", "paper_id"], "score", "section_id")).join(bounded_broadcast(q), "qid")
     w = F.when(F.col("kind") == "global", 1.0).otherwise(F.col("weight"))
     sources.append(per.groupBy("plan_id", "paper_id").agg(F.sum(w * F.col("score")).alias("score")).withColumn("source", F.lit("section_aggregated")))
     hits.append(per.where("kind = 'aspect'").select("plan_id", "paper_id", "name"))
@@ -103,7 +110,7 @@ def candidates(plan: Plan, index: Index, allowed: DataFrame, models: Models, sco
     every = sources[0].select("plan_id", "paper_id", "score", "source")
     for x in sources[1:]:
         every = every.unionByName(x.select("plan_id", "paper_id", "score", "source"))
-    ranked = R.rank_within(every, ["plan_id", "source"], "score", "paper_id", SOURCE_LIMIT)
+    ranked = cut(R.rank_within(every, ["plan_id", "source"], "score", "paper_id", SOURCE_LIMIT))
     weight = F.coalesce(*[F.when(F.col("source") == k, F.lit(v)) for k, v in SOURCE_WEIGHTS.items()])
     fused = ranked.groupBy("plan_id", "paper_id").agg(
         F.sum(weight / (R.RRF_BASE + F.col("rank"))).alias("rrf"),
@@ -131,7 +138,7 @@ def narrow_sections(plan: Plan, index: Index, pool: DataFrame, models: Models) -
     n = q.where("kind = 'bucket'").groupBy("plan_id", "name").agg(F.count("*").alias("n"))
     q = q.join(bounded_broadcast(n), ["plan_id", "name"], "left").withColumn("w", F.when(F.col("kind") == "global", 1.0).when(F.col("kind") == "aspect", F.col("weight")).otherwise(0.35 / F.col("n")))
     mine = pool.select("plan_id", "paper_id").join(index.sections.select("paper_id", "section_id", "match_text"), "paper_id")
-    grid = mine.join(bounded_broadcast(q.select("plan_id", "qid", "w")), "plan_id")
+    grid = mine.drop("match_text").join(bounded_broadcast(q.select("plan_id", "qid", "w")), "plan_id")
     total = None
     for scores, weight in ((_sparse(index.sections, "section_id", texts), 0.55), (_dense(index.sections, "section_id", texts, models.encoder), 0.45)):
         g = grid.join(scores, ["qid", "section_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
@@ -209,14 +216,17 @@ def search(plan: Plan, index: Index, allowed: DataFrame, models: Models | None =
     models = models or Models()
     if profile == "no_planner":
         plan = identity_plan(plan)
-    pool = candidates(plan, index, allowed, models)
+    plan = Plan(cut(plan.queries), cut(plan.terms), cut(plan.buckets))
+    index = encoded(index, models)
+    pool = cut(candidates(plan, index, allowed, models))
     if profile == "no_content_refinement":
         n = R.normalise(pool, ["plan_id"], "coarse", "pre_score")
         short = R.rank_within(n.select("plan_id", "paper_id", "coarse", "pre_score"), ["plan_id"], "pre_score", "paper_id", SHORTLIST)
     else:
-        narrowed = narrow_sections(plan, index, pool, models)
-        evidence = assemble_evidence(plan, index, narrowed, models)
-        short = shortlist(plan, pool, narrowed, evidence)
+        narrowed = cut(narrow_sections(plan, index, pool, models))
+        evidence = cut(assemble_evidence(plan, index, narrowed, models))
+        # laid down before a verifier that may call out: a retried task repeats no call before it
+        short = cut(shortlist(plan, pool, narrowed, evidence))
     return final_results(short, None if profile == "no_verifier" else models.verifier, top_k)
 
 

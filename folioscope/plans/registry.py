@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.plans import integrity, retrieval
+from folioscope.plans import analytics, integrity, records, retrieval
 
-MODULES = (retrieval, integrity)
+MODULES = (retrieval, records, analytics, integrity)
 
 
 def queries() -> dict:

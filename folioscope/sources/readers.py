@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from folioscope.functions import text as X
 
@@ -21,31 +20,31 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
+def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def json_lines(spark: SparkSession, path: str, schema: T.StructType, mode: str = "FAILFAST") -> DataFrame:
+def json_lines(spark: SparkSession, path: str, schema: str, mode: str = "FAILFAST") -> DataFrame:
     """Validated rows (FAILFAST), tolerant rows (PERMISSIVE) or without corrupt rows (DROPMALFORMED); blank lines are none."""
     if not exists(spark, path):
         return empty(spark, schema)
     return spark.read.schema(schema).option("mode", mode).json(path)
 
 
-def json_document(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON document per file."""
     if not exists(spark, path):
         return empty(spark, schema)
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def parquet_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def parquet_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if exists(spark, path) else empty(spark, schema)
 
 
 def vectors(spark: SparkSession, path: str) -> DataFrame:
     """(item_id, vector array<float>) of an index bundle."""
-    return parquet_table(spark, path, T.StructType.fromDDL("item_id string, vector array<float>, encoder_model string, vector_dim int"))
+    return parquet_table(spark, path, "item_id string, vector array<float>, encoder_model string, vector_dim int")
 
 
 def with_precedence(raw: DataFrame, normalised: DataFrame, key: str) -> DataFrame:
@@ -93,7 +92,7 @@ def header_tei(files: DataFrame) -> DataFrame:
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, modified): PDF files below a folder, each once; contents are not read."""
     if not exists(spark, path):
-        return empty(spark, T.StructType.fromDDL("path string, length bigint, modified timestamp"))
+        return empty(spark, "path string, length bigint, modified timestamp")
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]").load(path)
     return df.select("path", "length", F.col("modificationTime").alias("modified")).dropDuplicates(["path"])
 
