@@ -1,4 +1,4 @@
-"""Markup that needs a parser: HTML tables, nested JSON blocks, model answers. Arrow-batched functions."""
+"""Markup that needs a parser: HTML tables, nested JSON blocks, model answers."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import json
 import re
 from html.parser import HTMLParser
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CELLS = "array<struct<row int, col int, rowspan int, colspan int, header boolean, text string>>"
@@ -54,10 +54,14 @@ def table_cells(html: str | None) -> list[dict]:
     return p.cells
 
 
-@F.pandas_udf(CELLS)
-def html_table(html: pd.Series) -> pd.Series:
+def batched(f, kind: str, c: Column | str) -> Column:
+    """f over a column in Arrow batches; made when used, since a type needs a session to be parsed."""
+    return F.pandas_udf(lambda s: s.map(f), kind)(F.col(c) if isinstance(c, str) else c)
+
+
+def html_table(html: Column | str) -> Column:
     """Cells of HTML tables with their grid position; null and tagless texts give []."""
-    return html.map(table_cells)
+    return batched(table_cells, CELLS, html)
 
 
 def block_text(value: object) -> str:
@@ -73,17 +77,16 @@ def block_text(value: object) -> str:
     return ""
 
 
-@F.pandas_udf("string")
-def nested_text(payload: pd.Series) -> pd.Series:
-    """block_text() of JSON strings; null and malformed JSON give an empty text."""
+def json_text(payload: str | None) -> str:
+    try:
+        return block_text(json.loads(payload)) if payload else ""
+    except ValueError:
+        return ""
 
-    def one(p: str | None) -> str:
-        try:
-            return block_text(json.loads(p)) if p else ""
-        except ValueError:
-            return ""
 
-    return payload.map(one)
+def nested_text(payload: Column | str) -> Column:
+    """block_text() of JSON strings; null and malformed JSON give an empty text."""
+    return batched(json_text, "string", payload)
 
 
 def answer_object(text: str | None) -> str | None:
@@ -99,6 +102,5 @@ def answer_object(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
-def json_answer(text: pd.Series) -> pd.Series:
-    return text.map(answer_object)
+def json_answer(text: Column | str) -> Column:
+    return batched(answer_object, "string", text)
