@@ -6,11 +6,17 @@ ties are the same however rows are partitioned. Scores are sums in double precis
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.functions.vectors import cosine
-from folioscope.runtime import bounded_broadcast
+from folioscope.runtime import Shared, bounded_broadcast
 
 K1, B, EPSILON, RRF_BASE = 1.5, 0.75, 0.25, 60
 
@@ -48,10 +54,60 @@ def bm25(docs: DataFrame, key: str, tokens: Column, queries: DataFrame, query_ke
     return hits.groupBy(query_key, key).agg(F.sum(part).alias("score"))
 
 
-def dense(docs: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str) -> DataFrame:
-    """(query_key, key, score): cosine of a bounded set of queries with all rows (a stated query set, in blocks)."""
-    q = queries.select(query_key, F.col(query_vector).alias("_q"))
-    return docs.select(key, F.col(vector).alias("_v")).join(bounded_broadcast(q), F.size("_v") == F.size("_q")).select(query_key, key, cosine("_q", "_v").alias("score"))
+#: Bytes of query vectors that are broadcast; a larger set is joined instead.
+QUERY_BYTES = 64 << 20
+
+
+def dense(docs: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, top: int | None = None) -> DataFrame:
+    """(query_key, key, score): cosine of a stated, bounded set of queries with all rows, in blocks.
+
+    Query vectors are stacked once and every Arrow batch of documents meets them in one matrix product.
+    top: rows below the batch's own top-th score of a query are dropped before anything is shuffled, which
+    loses nothing of the overall top (ties at the edge are kept). Rows meet only queries of their own
+    dimension; null vectors meet none; norms have 1e-12 added, so zero vectors score 0.
+    """
+    q = queries.select(query_key, F.col(query_vector).alias("_q")).where(F.col("_q").isNotNull())
+    d = docs.select(key, F.col(vector).alias("_v")).where(F.col("_v").isNotNull())
+    held = q.agg(F.sum(F.size("_q") * 8 + 64).alias("b")).first()["b"] or 0
+    if held > QUERY_BYTES:
+        return d.join(q, F.size("_v") == F.size("_q")).select(query_key, key, cosine("_q", "_v").alias("score"))
+    by_dim: dict[int, tuple[list, list]] = {}
+    for r in q.toLocalIterator():
+        if len(r["_q"]) and None not in r["_q"]:
+            ids, rows = by_dim.setdefault(len(r["_q"]), ([], []))
+            ids.append(r[query_key])
+            rows.append(r["_q"])
+    q_type = pa_type(q.schema[query_key].dataType)
+    stacked = {}
+    for n, (ids, rows) in by_dim.items():
+        m = np.array(rows, np.float64)
+        stacked[n] = (ids, m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-12))
+    shared = Shared(docs.sparkSession, stacked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.get()
+        for b in batches:
+            size = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+            for n, (ids, m) in known.items():
+                at = np.flatnonzero(size == n)
+                x = b.column(1).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
+                keys, names = b.column(0).take(pa.array(at)), pa.array(ids, q_type)
+                for lo in range(0, len(at), 1024):
+                    part = x[lo : lo + 1024]
+                    s = (part / (np.linalg.norm(part, axis=1, keepdims=True) + 1e-12)) @ m.T
+                    keep = np.ones(s.shape, bool)
+                    if top and len(s) > top:
+                        keep = s >= -np.partition(-s, top - 1, axis=0)[top - 1]
+                    r, c = np.nonzero(keep)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(c)), keys.take(pa.array(r + lo)), pa.array(s[r, c])], names=[query_key, key, "score"])
+
+    return d.mapInArrow(run, f"`{query_key}` {q.schema[query_key].dataType.simpleString()}, `{key}` {d.schema[key].dataType.simpleString()}, score double")
+
+
+def pa_type(kind: T.DataType) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)
 
 
 def rank_within(df: DataFrame, by: list[str], score: str, key: str, limit: int | None = None) -> DataFrame:

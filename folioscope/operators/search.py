@@ -57,9 +57,9 @@ def _sparse(docs: DataFrame, key: str, queries: DataFrame) -> DataFrame:
     return R.bm25(_tokens(docs), key, F.col("_t"), queries.withColumn("_q", T.tokens("query")), "qid", F.col("_q"))
 
 
-def _dense(docs: DataFrame, key: str, queries: DataFrame, encoder: Encoder) -> DataFrame:
+def _dense(docs: DataFrame, key: str, queries: DataFrame, encoder: Encoder, top: int | None = None) -> DataFrame:
     ready = docs if "v" in docs.columns else docs.withColumn("v", encoder(F.col("search_text")))
-    return R.dense(ready, key, "v", queries.withColumn("qv", encoder(F.col("query"))), "qid", "qv")
+    return R.dense(ready, key, "v", queries.withColumn("qv", encoder(F.col("query"))), "qid", "qv", top)
 
 
 def distinct_queries(plan: Plan) -> tuple[DataFrame, DataFrame]:
@@ -84,7 +84,7 @@ def candidates(plan: Plan, index: Index, allowed: DataFrame, models: Models, sco
     texts = texts.join(q.select("qid").distinct(), "qid", "left_semi")
     papers = index.papers.join(allowed.select("paper_id"), "paper_id", "left_semi") if scope_pushdown else index.papers
     sources, hits = [], []
-    for name, scores in (("paper_sparse", _sparse(papers, "paper_id", texts)), ("paper_dense", _dense(papers, "paper_id", texts, models.encoder))):
+    for name, scores in (("paper_sparse", _sparse(papers, "paper_id", texts)), ("paper_dense", _dense(papers, "paper_id", texts, models.encoder, SOURCE_LIMIT))):
         ranked = R.rank_within(scores.where("score > 0"), ["qid"], "score", "paper_id", SOURCE_LIMIT)
         kept = R.post_limit_scope(ranked, allowed, "paper_id", SOURCE_LIMIT)
         # rankings are renumbered after the scope filter
@@ -95,7 +95,7 @@ def candidates(plan: Plan, index: Index, allowed: DataFrame, models: Models, sco
         hits.append(per.where("kind = 'aspect'").select("plan_id", "paper_id", "name"))
     limit = max(SOURCE_LIMIT * 12, 300)
     s = R.rank_within(_sparse(index.sections, "section_id", texts).where("score > 0"), ["qid"], "score", "section_id", limit)
-    d = R.rank_within(_dense(index.sections, "section_id", texts, models.encoder).where("score > 0"), ["qid"], "score", "section_id", limit)
+    d = R.rank_within(_dense(index.sections, "section_id", texts, models.encoder, limit).where("score > 0"), ["qid"], "score", "section_id", limit)
     mixed = R.mix(s, d, ["qid", "section_id"], 0.55, 0.45).where("score > 0")
     of_paper = mixed.join(index.sections.select("section_id", "paper_id"), "section_id").join(allowed.select("paper_id"), "paper_id", "left_semi")
     per = cut(R.blend_top3(of_paper, ["qid", "paper_id"], "score", "section_id")).join(bounded_broadcast(q), "qid")

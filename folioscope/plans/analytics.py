@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from folioscope.operators import search as S
 from folioscope.operators import selection as L
 from folioscope.operators.ranking import rank_within
 from folioscope.plans.common import sql_squash, table
-from folioscope.runtime import shared_dir
+from folioscope.runtime import scratch
 from folioscope.sources import readers, sinks
 from folioscope.streaming import jobs
 
@@ -230,7 +228,7 @@ def user_sessions(s: SparkSession, d: str) -> DataFrame:
 
 def stream_ingest(s: SparkSession, d: str) -> DataFrame:
     """The event file as a stream into a table, twice: the second run finds nothing new."""
-    root = f"{shared_dir(s).rstrip('/')}/folioscope/{uuid.uuid4().hex}"
+    root = scratch(s)
     for _ in range(2):
         jobs.ingest(jobs.event_stream(s, d), "event_id", f"{root}/events", f"{root}/checkpoint")
     return s.read.parquet(f"{root}/events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_ids"))

@@ -219,7 +219,7 @@ _OBJ = _sql_latest("layout_objects", "object_id")
 _CHK = _sql_latest("chunks", "chunk_id")
 _PAP = _sql_latest("papers", "paper_id")
 _ORD = "printf('%06d', ordinal) || '-' || section_id"
-_BLANK_OK = "CASE WHEN {0} IS NULL THEN NULL ELSE {0} END"
+_PLAIN = sql_squash("replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')")
 
 
 def _sql_evidence_scores(source: str, keys: str) -> str:
@@ -249,7 +249,7 @@ ORACLE = {
     "queued_papers": "SELECT DISTINCT paper_id, corpus_key FROM papers WHERE paper_id NOT IN (SELECT paper_id FROM header_results)",
     "word_windows": f"""WITH t AS (SELECT doc_id, {sql_tokens('text')} AS t FROM documents), w AS (SELECT doc_id, t, unnest(range(greatest(1, ceil((len(t) - 30) / 90.0)::INT))) AS window_no FROM t WHERE len(t) > 0)
 SELECT doc_id, window_no::INT AS window_no, (window_no * 90)::INT AS start, least(len(t), window_no * 90 + 120)::INT AS end, md5(array_to_string(t[window_no * 90 + 1 : window_no * 90 + 120], ' ')) AS text_md5 FROM w""",
-    "forward_fill_sections": f"""SELECT paper_id, object_id, sum((object_type = 'table_block')::INT) OVER w AS section_no, coalesce(last_value(CASE WHEN object_type = 'table_block' THEN caption END IGNORE NULLS) OVER w, 'Document') AS section_title
+    "forward_fill_sections": f"""SELECT paper_id, object_id, (sum((object_type = 'table_block')::INT) OVER w)::BIGINT AS section_no, coalesce(last_value(CASE WHEN object_type = 'table_block' THEN caption END IGNORE NULLS) OVER w, 'Document') AS section_title
 FROM {_OBJ} WINDOW w AS (PARTITION BY paper_id ORDER BY printf('%06d', ordinal) || '-' || object_id ROWS UNBOUNDED PRECEDING)""",
     "references_cut": f"SELECT paper_id, section_id FROM (SELECT paper_id, section_id, max((ordinal % 5 = 4)::INT) OVER (PARTITION BY paper_id ORDER BY {_ORD} ROWS UNBOUNDED PRECEDING) AS seen FROM {_SEC}) WHERE seen = 0",
     "char_offsets": f"""SELECT paper_id, section_id, (b + length(section_title) + 1)::BIGINT AS text_start, (b + length(section_title) + 1 + length(text))::BIGINT AS text_end FROM (
@@ -276,7 +276,7 @@ SELECT section_id, CASE WHEN regexp_matches(h, '^\\d') THEN 2 WHEN h LIKE 'Appen
 regexp_replace(substr(regexp_replace(regexp_replace(lower(h), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), '-+$', '') AS slug, CASE WHEN length(h) <= 20 THEN h ELSE rtrim(substr(h, 1, 17)) || '...' END AS short FROM h""",
     "stable_ids": f"SELECT object_id, 'object_' || substr(sha1(concat_ws(':', coalesce(paper_id, ''), coalesce(ordinal::VARCHAR, ''), coalesce(object_type, ''), coalesce(page_idx::VARCHAR, ''), coalesce(substr(text, 1, 80), ''))), 1, 16) AS stable_id FROM {_OBJ}",
     "reference_fields": f"SELECT paper_id, coalesce(try_cast(nullif(regexp_extract(title, '\\b((?:19|20)\\d{{2}})[a-z]?\\b', 1), '') AS INT), year) AS year, doi, year || '.01234' AS arxiv_id, url FROM {_PAP}",
-    "table_text": f"SELECT object_id, {sql_squash(chr(114) + 'eplace(replace(replace(regexp_replace(html, ' + sql_text('<[^>]*>') + ', ' + sql_text(' ') + ', ' + sql_text('g') + '), ' + sql_text('&lt;') + ', ' + sql_text('<') + '), ' + sql_text('&gt;') + ', ' + sql_text('>') + '), ' + sql_text('&amp;') + ', ' + sql_text('&') + ')')} AS plain FROM {_OBJ} WHERE html <> ''",
+    "table_text": f"SELECT object_id, {_PLAIN} AS plain FROM {_OBJ} WHERE html <> ''",
     "table_cells": f"""WITH r AS (SELECT object_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS row FROM {_OBJ} WHERE object_type = 'table_block' AND text <> '')
 SELECT object_id, row::INT AS row, (generate_subscripts(regexp_split_to_array(line, '[\\t|]'), 1) - 1)::INT AS col, {sql_squash("unnest(regexp_split_to_array(line, '[\\t|]'))")} AS text FROM r""",
     "corpus_keys": f"SELECT paper_id, concat_ws('/', lower(coalesce(venue, '')), year::VARCHAR, lower(coalesce(track, 'unknown'))) AS corpus_key, CASE WHEN x IN ('main', 'long') THEN 'long' WHEN x LIKE 'short%' THEN 'short' WHEN x LIKE 'demo%' THEN 'demo' WHEN x = '' THEN 'unknown' ELSE x END AS track FROM (SELECT *, regexp_extract(lower(trim(coalesce(track, ''))), '([^-.]*)$', 1) AS x FROM {_PAP})",

@@ -44,7 +44,7 @@ def bm25_positive_only(s: SparkSession, d: str) -> DataFrame:
 def cosine_topk(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "embeddings").select("vec_id", "embedding")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scores = R.dense(e, "vec_id", "embedding", q, "query_id", "q").withColumn("score", F.round("score", 6))
+    scores = R.dense(e, "vec_id", "embedding", q, "query_id", "q", 10).withColumn("score", F.round("score", 6))
     return R.rank_within(scores, ["query_id"], "score", "vec_id", 10)
 
 
@@ -190,7 +190,7 @@ ORACLE = {
     "post_limit_scope": "SELECT doc_id, n_chars, rank FROM (SELECT doc_id, n_chars, lang, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE n_chars IS NOT NULL) WHERE rank <= 120 AND lang = 'en'",
     "full_outer_scores": "SELECT coalesce(a.k, b.k) AS l_suppkey, round(0.55 * coalesce(a.s, 0) + 0.45 * coalesce(b.s, 0), 6) AS score FROM (SELECT l_suppkey AS k, avg(l_discount) AS s FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) a FULL JOIN (SELECT l_suppkey AS k, avg(l_tax) AS s FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 45 GROUP BY 1) b ON a.k = b.k",
     "literal_phrase_hits": f"""WITH c AS (SELECT DISTINCT chunk_id, paper_id, {sql_match("concat_ws(' ', heading, text)")} AS h FROM chunks), t AS (SELECT DISTINCT topic, {sql_match("topic")} AS m FROM eval_items)
-SELECT topic AS plan_id, paper_id, round(count(DISTINCT m) + 0.05 * count(DISTINCT chunk_id), 4) AS score FROM c JOIN t ON contains(' ' || h || ' ', ' ' || m || ' ') GROUP BY ALL""",
+SELECT topic AS plan_id, paper_id, round((count(DISTINCT m) + 0.05 * count(DISTINCT chunk_id))::DOUBLE, 4) AS score FROM c JOIN t ON contains(' ' || h || ' ', ' ' || m || ' ') GROUP BY ALL""",
     "sparse_dot_topk": f"""WITH dw AS (SELECT doc_id, term, ln(1 + count(*)::DOUBLE) AS w FROM (SELECT doc_id, unnest({sql_ascii_tokens("text")}) AS term FROM documents) GROUP BY ALL),
 qw AS (SELECT item_id, term, ln(1 + count(*)::DOUBLE) AS w FROM (SELECT item_id, unnest({sql_ascii_tokens("text")}) AS term FROM eval_items WHERE kind = 'question') GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT item_id, doc_id, round(sum(dw.w * qw.w), 6) AS score FROM dw JOIN qw USING (term) GROUP BY ALL)) WHERE rank <= 10""",

@@ -62,10 +62,18 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed when the driver's JVM ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/folioscope/{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back (columnar, prunable, splittable)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/folioscope/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
