@@ -33,6 +33,8 @@ from folioscope.llm.graph import components
 from folioscope.runtime import Shared, cut
 
 MIN_COSINE, MIN_SCORE, MAX_LINKS = 0.35, 0.5, 200_000
+#: Score of pairs that may join a cluster through others but make none themselves.
+WEAK = 0.4
 
 #: Titles, markers of departments, kinds of institution with their abbreviated words.
 TITLES = {"dr", "prof", "professor", "mr", "mrs", "ms", "phd", "sir", "jr", "sr", "md"}
@@ -147,8 +149,12 @@ def given_match(a: str, b: str, full_of: dict[str, set[str]]) -> float:
         return 0.95
     if (a.endswith(".") and any(q.startswith(x) for q in fy)) or (b.endswith(".") and any(p.startswith(y) for p in fx)):
         return 0.9
-    if min(len(x), len(y)) >= 4 and distance(x, y, 1) <= 1:
+    # one typo, also in a full name that the other side abbreviates by a nickname
+    if any(min(len(p), len(q)) >= 4 and distance(p, q, 1) <= 1 for p in fx for q in fy):
         return 0.85
+    # two typos of one name are two edits apart; as little as two typos in different parts, see person_score
+    if min(len(x), len(y)) >= 6 and distance(x, y, 2) == 2:
+        return WEAK
     return 0.0
 
 
@@ -166,13 +172,13 @@ def person_score(a: tuple[str, list[str]], b: tuple[str, list[str]], full_of: di
     if not f or not a[1] or not b[1]:
         return 0.0
     g = given_match(a[1][0], b[1][0], full_of)
-    if not g:
+    if not g or (f < 1 and g == WEAK):
         return 0.0
     for x, y in zip(a[1][1:2], b[1][1:2]):
         if x[0] != y[0]:
             return 0.0
     # one typo is a typo; two, or a typo and a bare initial, join a cluster but make none
-    return f * g if f == 1 or g > 0.85 else 0.4
+    return f * g if f == 1 or g > 0.85 else WEAK
 
 
 def nearest_kind(t: str) -> str | None:
@@ -273,7 +279,8 @@ def parsed_persons(names: DataFrame, nicknames: dict[str, set[str]]) -> DataFram
                 p = parse_person(name, short, swap)
                 if p and p[0] and p[1]:
                     x = p[1][0].rstrip(".")
-                    blocks = {x[0]} | {f[0] for f in full_of.get(x, ())}
+                    # the second letter too: one edit at the head of a name leaves it among the first two
+                    blocks = set(x[:2]) | {f[0] for f in full_of.get(x, ())}
                     out.append((name, sorted(blocks), p[0], p[1]))
             cols = list(zip(*out)) or [(), (), (), ()]
             kinds = [pa.string(), pa.list_(pa.string()), pa.string(), pa.list_(pa.string())]

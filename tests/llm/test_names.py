@@ -33,6 +33,8 @@ def test_linking_persons(spark):
         ["Benjamin Drepogunt", "Benj. Drepogunt", "B Drepogunt", "Drepogunt Benjamin"],
         ["Benjamin Wuhosel", "Benjamin Kralotin", "Benjamin Fesutok"],
         ["Soraya Drepogunt"],
+        ["Katarina Wozelin", "Aktarina Wozelin", "Matarina Wozelin"],
+        ["Tony Ferudak", "Antohny Ferudak"],
         ["Anke L. Webraress"],
         ["Anke R. Webraress"],
     ]
