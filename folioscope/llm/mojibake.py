@@ -146,6 +146,11 @@ def pair_slots(c: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> np.uint64(29))) % np.uint64(BI)).astype(np.int64)
 
 
+def see(c: str) -> str:
+    """A character as the model sees it: ASCII letters and digits by class."""
+    return chr(CLASS[ord(c)]) if c and c < "\x80" else c
+
+
 class Model:
     """Interpolated bigram model over hashed counts."""
 
@@ -167,6 +172,7 @@ class Repairer:
     def __init__(self, model: Model | None, margin: float):
         self.model, self.margin = model, margin
         self.cache: dict[str, list[str]] = {}
+        self.known: dict[tuple[str, str, str], tuple[float, str]] = {}
 
     def candidates(self, run: str) -> list[str]:
         got = self.cache.get(run)
@@ -178,7 +184,7 @@ class Repairer:
 
     def suspicious(self, text: str) -> bool:
         """Whether a chain could make anything else of the text, or something was lost for certain."""
-        return bool(LOST.search(text)) or bool(HIGH3.search(text)) or any(self.candidates(m.group()) for m in RUN.finditer(text))
+        return bool(LOST.search(text)) or bool(HIGH3.search(text)) or any(map(self.candidates, set(RUN.findall(text))))
 
     def gain(self, before: str, old: str, new: str, after: str) -> float:
         b, a = before[-1:] or "\n", after[:1] or "\n"
@@ -187,13 +193,23 @@ class Repairer:
     def best(self, before: str, old: str, options: list[str], after: str) -> tuple[float, str]:
         return max(((self.gain(before, old, new, after), new) for new in options), default=(0.0, old))
 
+    def best_of_run(self, before: str, run: str, after: str) -> tuple[float, str]:
+        """best() over the run's own candidates, remembered by what the model sees of the context."""
+        key = (see(before) or "\n", run, see(after) or "\n")
+        got = self.known.get(key)
+        if got is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            got = self.known[key] = self.best(key[0], run, self.candidates(run), key[2])
+        return got
+
     def fix_runs(self, text: str) -> tuple[str, int]:
         n = 0
 
         def replace(m: re.Match) -> str:
             nonlocal n
-            if options := self.candidates(m.group()):
-                gain, new = self.best(text[: m.start()][-1:], m.group(), options, text[m.end() : m.end() + 1])
+            if self.candidates(m.group()):
+                gain, new = self.best_of_run(text[max(0, m.start() - 1) : m.start()], m.group(), text[m.end() : m.end() + 1])
                 if gain > self.margin:
                     n += 1
                     return new
@@ -203,12 +219,16 @@ class Repairer:
 
     def fix(self, text: str) -> tuple[str, int]:
         """(restored text, number of places restored)."""
+        # most texts hold nothing that any chain could change; their runs repeat, so the set of them is small
+        if not HIGH3.search(text) and not any(map(self.candidates, set(RUN.findall(text)))):
+            return text, 0
         out, at, n = [], 0, 0
         for s, e in stretches(text):
             old = text[s:e]
-            gain, new = self.best(text[at:s], old, stretch_candidates(old), text[e : e + 1])
+            before = text[max(at, s - 1) : s]
+            gain, new = self.best(before, old, stretch_candidates(old), text[e : e + 1])
             # UTF-8 chains compete, but work on whole runs, which may reach beyond the stretch
-            if gain > self.margin and gain > self.gain(text[at:s], old, self.fix_runs(old)[0], text[e : e + 1]):
+            if gain > self.margin and gain > self.gain(before, old, self.fix_runs(old)[0], text[e : e + 1]):
                 fixed, k = self.fix_runs(text[at:s])
                 out += [fixed, new]
                 at, n = e, n + k + 1
