@@ -5,11 +5,15 @@ clean records (no replacement or C1 control characters, nothing any chain could
 
 Candidates: chains of up to two steps "encode with the codec it was wrongly read in, decode with the
 right one". Chains that end in UTF-8 are tried on every run of non-ASCII characters, valid multi-byte
-sequences in it being replaced; chains that end in a legacy charset are tried on stretches with three high
-characters in a row. Each candidate is scored by the model in its context against the text as it stands;
-the likeliest is accepted when it gains more than a margin. The margin is validated on held-out clean
-records: their runs are garbled by every chain, and the margin is the gain that all but `MISS` of these
-exceed, though never under `LEAST` nats.
+sequences in it being replaced; chains that end in a legacy charset are tried, for every pair of a wrong and
+a right codec, on stretches with three high characters in a row. Between Cyrillic charsets every run changes
+by itself, so the consecutive runs that gain most together are taken, and clean ones beside them stay; small and
+capital Cyrillic letters count as one there, since KOI8-R and cp1251 swap them. No chain is certain by its bytes
+there, so Cyrillic records that are garbled so are among those the model is trained on; they are told by being
+rarer than the clean ones. Each candidate is scored by the model in its context against the text as it stands;
+the likeliest is accepted when it gains more than a margin. The margin is validated on held-out clean records:
+their runs are garbled by every chain, and the margin is the gain that all but `MISS` of these exceed, though
+never under `LEAST` nats.
 
 A record is affected when a chain was accepted, or when it holds U+FFFD or C1 control characters (other
 than NEL, a line end), which no correct decoding of text yields; those may be beyond restoring.
@@ -55,13 +59,20 @@ def byte_of(codec: str) -> dict[str, int]:
     return out
 
 
-#: Codecs in which UTF-8 is wrongly read, and charsets that are wrongly read as Latin-1 or Windows-1252 (fixed values).
+#: Codecs in which UTF-8 is wrongly read, and charsets that are wrongly read in one of these (fixed values).
 WRONG = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp1250")
 LEGACY = ("cp1251", "koi8_r", "gb18030", "cp932", "euc_jp", "big5", "euc_kr", "cp866")
 TABLES = {c: byte_of(c) for c in WRONG}
-HIGH = "".join(re.escape(c) for c in TABLES["cp1252"])
-HIGH3 = re.compile(f"[{HIGH}]{{3}}")
-STRETCH = re.compile(f"[\\x20-\\x7e{HIGH}]+")
+HIGH = {c: "".join(map(re.escape, t)) for c, t in TABLES.items()}
+THREE = {c: re.compile(f"[{h}]{{3}}") for c, h in HIGH.items()}
+STRETCH = {c: re.compile(f"[\\x20-\\x7e{h}]+") for c, h in HIGH.items()}
+ANY3 = re.compile(f"[{''.join(HIGH.values())}]{{3}}")
+#: Three characters in a row of a wrong reading that is not in Cyrillic letters.
+LATIN3 = re.compile(f"[{''.join(HIGH[c] for c in WRONG if c not in LEGACY)}]{{3}}")
+#: The Cyrillic charsets, and what becomes of each character of one that was read as another.
+SINGLE = {c: {b: ch for b in range(0x80, 0x100) if (ch := bytes([b]).decode(c, "ignore"))} for c in ("cp1251", "koi8_r", "cp866")}
+MULTI = tuple(c for c in LEGACY if c not in SINGLE)
+SWAPS = {(w, r): {ord(c): SINGLE[r][b] for c, b in TABLES[w].items() if b in SINGLE[r]} for w in WRONG if w in SINGLE for r in SINGLE if w != r}
 #: Bigram context classes of ASCII: letters and digits each count as one.
 CLASS = np.arange(128, dtype=np.uint32)
 CLASS[[*range(65, 91), *range(97, 123)]] = 97
@@ -109,12 +120,12 @@ def run_candidates(run: str) -> list[str]:
     return list(found)
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
+def stretches(text: str, codec: str = "cp1252") -> list[tuple[int, int]]:
     """Parts of lines that the wrong codec can encode and that have three high characters in a row."""
     out, at = [], 0
-    while m := HIGH3.search(text, at):
+    while m := THREE[codec].search(text, at):
         begin = max(text.rfind("\n", 0, m.start()), text.rfind("\r", 0, m.start())) + 1
-        for part in STRETCH.finditer(text, max(begin, at)):
+        for part in STRETCH[codec].finditer(text, max(begin, at)):
             if part.end() >= m.end():
                 break
         out.append(part.span())
@@ -122,11 +133,11 @@ def stretches(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def stretch_candidates(text: str) -> list[str]:
-    table = TABLES["cp1252"]
+def stretch_candidates(text: str, wrong: str = "cp1252", rights: tuple[str, ...] = LEGACY) -> list[str]:
+    table = TABLES[wrong]
     raw = bytes(ord(c) if c < "\x80" else table[c] for c in text)
     found: dict[str, None] = {}
-    for codec in LEGACY:
+    for codec in rights:
         try:
             found[raw.decode(codec)] = None
         except UnicodeDecodeError:
@@ -140,6 +151,15 @@ def codes(text: str) -> np.ndarray:
     return np.where(c < 128, CLASS[np.minimum(c, 127)], c)
 
 
+def small(c: np.ndarray) -> np.ndarray:
+    """Code points, Cyrillic capitals made small."""
+    return np.where((c >= 0x410) & (c < 0x430), c + 32, np.where((c >= 0x400) & (c < 0x410), c + 80, c)).astype(np.uint32)
+
+
+def capital(c: np.ndarray) -> np.ndarray:
+    return np.where((c >= 0x430) & (c < 0x450), c - 32, np.where((c >= 0x450) & (c < 0x460), c - 80, c)).astype(np.uint32)
+
+
 def pair_slots(c: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Table slots of the bigrams that begin at the given places."""
     h = c[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + c[at + 1].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -167,12 +187,29 @@ class Model:
         p = (self.bi[pair_slots(c, np.arange(len(c) - 1))] + self.weight * low) / (self.uni[c[:-1] % UNI] + self.weight)
         return float(np.log(p).sum())
 
+    def caseless(self, text: str) -> float:
+        """The score where Cyrillic letters count in either case: the counts of all their forms together."""
+        c = small(codes(text))
+        if len(c) < 2:
+            return 0.0
+        up, at = capital(c), np.arange(len(c) - 1)
+        both = up != c
+        uni = self.uni[c % UNI] + both * self.uni[up % UNI]
+        bi = self.bi[pair_slots(c, at)]
+        for first, second in ((up, c), (c, up), (up, up)):
+            real = (both[:-1] | (first is c)) & (both[1:] | (second is c))
+            h = np.stack([first[:-1], second[1:]], 1).ravel()
+            bi = bi + real * self.bi[pair_slots(h, at * 2)]
+        p = (bi + self.weight * (uni[1:] + self.alpha) / (self.total + self.alpha * UNI)) / (uni[:-1] + self.weight)
+        return float(np.log(p).sum())
+
 
 class Repairer:
     def __init__(self, model: Model | None, margin: float):
         self.model, self.margin = model, margin
         self.cache: dict[str, list[str]] = {}
         self.known: dict[tuple[str, str, str], tuple[float, str]] = {}
+        self.swapped: dict[tuple[str, str, str], dict[tuple[str, str], float]] = {}
 
     def candidates(self, run: str) -> list[str]:
         got = self.cache.get(run)
@@ -184,7 +221,7 @@ class Repairer:
 
     def suspicious(self, text: str) -> bool:
         """Whether a chain could make anything else of the text, or something was lost for certain."""
-        return bool(LOST.search(text)) or bool(HIGH3.search(text)) or any(map(self.candidates, set(RUN.findall(text))))
+        return bool(LOST.search(text)) or bool(LATIN3.search(text)) or any(map(self.candidates, set(RUN.findall(text))))
 
     def gain(self, before: str, old: str, new: str, after: str) -> float:
         b, a = before[-1:] or "\n", after[:1] or "\n"
@@ -217,21 +254,74 @@ class Repairer:
 
         return RUN.sub(replace, text), n
 
+    def swap_gains(self, before: str, run: str, after: str) -> dict[tuple[str, str], float]:
+        """What each pair of Cyrillic charsets that can make something else of the run gains by it."""
+        key = (see(before) or "\n", run, see(after) or "\n")
+        got = self.swapped.get(key)
+        if got is None:
+            if len(self.swapped) > 50_000:
+                self.swapped.clear()
+            got, old = {}, None
+            for pair, table in SWAPS.items():
+                if all(ord(c) in table for c in run):
+                    old = self.model.caseless(key[0] + run + key[2]) if old is None else old
+                    got[pair] = self.model.caseless(key[0] + run.translate(table) + key[2]) - old
+            self.swapped[key] = got
+        return got
+
+    def swaps(self, text: str) -> list[tuple[float, int, int, str]]:
+        """(gain, begin, end, new) of the consecutive runs that gain more than the margin together."""
+        runs = [(m.start(), m.end(), self.swap_gains(text[max(0, m.start() - 1) : m.start()], m.group(), text[m.end() : m.end() + 1])) for m in RUN.finditer(text)]
+        out = []
+        for pair in {p for *_, gains in runs for p, g in gains.items() if g > 0}:
+            at = 0
+            while at < len(runs):
+                total = top = 0.0
+                last = at
+                for i in range(at, len(runs)):
+                    total += runs[i][2].get(pair, -np.inf)
+                    if total > top:
+                        top, last = total, i
+                    if total <= max(0.0, top - self.margin):
+                        break
+                begin, end = runs[at][0], runs[last][1]
+                if top > self.margin and THREE[pair[0]].search(text, begin, end):
+                    out.append((top, begin, end, text[begin:end].translate(SWAPS[pair])))
+                at = last + 1
+        return out
+
+    def legacy(self, text: str) -> list[tuple[float, int, int, str]]:
+        """(gain, begin, end, new) of the parts to which a chain to a legacy charset gives more than the margin."""
+        out = self.swaps(text)
+        for codec in WRONG:
+            for s, e in stretches(text, codec):
+                gain, new = self.best(text[max(0, s - 1) : s], text[s:e], stretch_candidates(text[s:e], codec, MULTI if codec in SINGLE else LEGACY), text[e : e + 1])
+                if gain > self.margin:
+                    out.append((gain, s, e, new))
+        return sorted(out, key=lambda x: (-x[0], *x[1:]))
+
     def fix(self, text: str) -> tuple[str, int]:
         """(restored text, number of places restored)."""
         # most texts hold nothing that any chain could change; their runs repeat, so the set of them is small
-        if not HIGH3.search(text) and not any(map(self.candidates, set(RUN.findall(text)))):
+        three = ANY3.search(text)
+        if not three and not any(map(self.candidates, set(RUN.findall(text)))):
             return text, 0
-        out, at, n = [], 0, 0
-        for s, e in stretches(text):
-            old = text[s:e]
-            before = text[max(at, s - 1) : s]
-            gain, new = self.best(before, old, stretch_candidates(old), text[e : e + 1])
-            # UTF-8 chains compete, but work on whole runs, which may reach beyond the stretch
-            if gain > self.margin and gain > self.gain(before, old, self.fix_runs(old)[0], text[e : e + 1]):
-                fixed, k = self.fix_runs(text[at:s])
-                out += [fixed, new]
-                at, n = e, n + k + 1
+        taken: list[tuple[int, int, str]] = []
+        for gain, s, e, new in self.legacy(text) if three else ():
+            if all(e <= a or s >= b for a, b, _ in taken):
+                # UTF-8 chains compete, but work on whole runs, which may reach beyond the part
+                a, b = s, e
+                while a and text[a - 1] > "\x7f":
+                    a -= 1
+                while b < len(text) and text[b] > "\x7f":
+                    b += 1
+                if gain > self.gain(text[max(0, a - 1) : a], text[a:b], self.fix_runs(text[a:b])[0], text[b : b + 1]):
+                    taken.append((s, e, new))
+        out, at, n = [], 0, len(taken)
+        for s, e, new in sorted(taken):
+            fixed, k = self.fix_runs(text[at:s])
+            out += [fixed, new]
+            at, n = e, n + k
         fixed, k = self.fix_runs(text[at:])
         return "".join([*out, fixed]), n + k
 

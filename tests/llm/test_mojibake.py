@@ -62,3 +62,16 @@ def test_candidates_round_trip():
             assert run in mb.run_candidates(g)
     assert mb.run_candidates("ÇÃ") == [] and mb.as_utf8("Ã©–", "cp1252") == "é–"
     assert mb.stretches("é" * 5 + "\nabc\nxéééy z\n") == [(0, 5), (10, 17)]
+
+
+def test_single_byte_charsets_read_in_another(spark):
+    rnd = random.Random(2)
+    clean = [rnd.choice([*EN, *RU, *RU, *ZH]).format(n=rnd.randint(1, 99)) for _ in range(3000)]
+    ru, zh = (" ".join(t.format(n=n) for t in ts for n in (3, 8)) for ts in (RU, ZH))
+    chains = [("koi8_r", "cp1251", ru), ("cp1251", "koi8_r", ru), ("cp866", "cp1251", ru), ("cp1251", "mac_roman", ru), ("cp866", "cp437", ru), ("koi8_r", "cp850", ru), ("gb18030", "cp1251", zh), ("gb18030", "mac_roman", zh)]
+    bad = [(t, wrong(t, right, read)) for right, read, t in chains]
+    mixed = RU[0].format(n=4) + " " + wrong(ru, "koi8_r", "cp1251") + " " + RU[1].format(n=6)
+    bad.append((" ".join([RU[0].format(n=4), ru, RU[1].format(n=6)]), mixed))
+    rows = list(enumerate(clean)) + [(10_000 + i, b) for i, (_, b) in enumerate(bad)] + [(20_000, ru.upper()), (20_001, ru.swapcase())]
+    got = {r["doc_id"]: r["text"] for r in mb.garbled_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {10_000 + i: t for i, (t, _) in enumerate(bad)}
