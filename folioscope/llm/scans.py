@@ -1,6 +1,8 @@
 """Noise of scanned pages: found by kind and repaired into continuous paragraphs.
 
-Evidence: the number of papers each word, and each hyphenated pair of words, occurs in. Hyphenation: a word
+Evidence: the number of groups of papers each word, and each hyphenated pair of words, occurs in. Equal texts,
+near-equal ones (estimated Jaccard similarity of `ALIKE` at least) and versions of a paper are one group, so
+copies of a noisy paper are no evidence for its errors. Hyphenation: a word
 broken at a line end is rejoined when the joined word is better attested than the hyphenated pair.
 Misrecognised characters: every word has an anagram hash, the sum of its characters' hashes; replacing
 a string by the one it is mistaken for changes the hash by a fixed difference, so rare words meet
@@ -8,8 +10,9 @@ their frequent variants in an equi-join on hash plus difference, are verified po
 variant of highest frequency wins. Edge lines: printed page numbers by their form and surroundings, running
 heads by form (authors, journal with volume, venue with year) or because they repeat the paper's title.
 
-Words of more than one paper in `COMMON` are frequent; that bounds the broadcast lexicon by `COMMON` times the
-average number of different words of a paper, whatever the size of the collection.
+Words of more than one group in `COMMON` are frequent, and taken for errors only when a variant is `FAR` times
+as frequent; that bounds the broadcast lexicon by `COMMON` times the
+average number of different words of a group, whatever the size of the collection.
 
 Null and empty texts have no noise. Repeated rows count once per kind. Texts are taken whole.
 """
@@ -24,10 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.graph import components
+from folioscope.llm.neardup import SYMBOLS, differing, signatures
 from folioscope.llm.words import WORD
 from folioscope.runtime import Shared, cut
 
-COMMON, RATIO = 200, 4
+COMMON, RATIO, FAR = 200, 4, 20
+#: Estimated similarity from which two texts are one piece of evidence.
+ALIKE = 0.6
 
 #: What scans make of characters: (misread form, right form). Fixed values.
 CONFUSIONS = [
@@ -143,22 +150,55 @@ def without_breaks(text: str) -> str:
     return " ".join([*out, text[at:]])
 
 
-def word_evidence(papers: DataFrame, text: str = "text") -> DataFrame:
-    """(word, df): the papers each word, and each hyphenated pair, occurs in; the halves of broken words don't count."""
+def text_groups(papers: DataFrame, text: str = "text") -> DataFrame:
+    """(id, grp): the group of every different text, by the hashes of the texts.
+
+    Every text is compared with the smallest id of each bucket of its fingerprint only, and every version
+    with the smallest of its paper, so the work is linear however large a group is.
+    """
+    src = papers.where(F.col(text).isNotNull()).select(F.md5(text).alias("id"), F.col("paper_id").cast("string").alias("paper"), F.col(text).alias("text"))
+    fs = [f"f{i}" for i in range(SYMBOLS // 16)]
+    sig = cut(signatures(src, "id", ["text"], None, 3).select("id", *fs, "keys").dropDuplicates(["id"]))
+    rows = sig.select(F.explode("keys").alias("k"), "id")
+    centres = rows.groupBy("k").agg(F.min("id").alias("centre"), F.count("*").alias("c")).where("c > 1").select("k", "centre")
+    met = rows.join(centres, "k").where("id != centre").select("id", "centre").distinct()
+    packs = sig.select("id", *fs)
+    full = met.alias("m").join(packs.alias("a"), F.col("m.id") == F.col("a.id")).join(packs.alias("b"), F.col("m.centre") == F.col("b.id"))
+    near = full.where(differing("a", "b") <= SYMBOLS - round(SYMBOLS * (ALIKE + (1 - ALIKE) / 16))).select("m.id", "m.centre")
+    versions = src.where("paper IS NOT NULL").select("paper", "id").distinct()
+    first = versions.groupBy("paper").agg(F.min("id").alias("centre"))
+    same = versions.join(first, "paper").where("id != centre").select("id", "centre")
+    group = components(near.unionByName(same), "id", "centre")
+    return src.select("id").distinct().join(group, "id", "left").select("id", F.coalesce("component", "id").alias("grp"))
+
+
+def word_evidence(papers: DataFrame, groups: DataFrame, text: str = "text") -> DataFrame:
+    """(word, df): the groups of papers each word, and each hyphenated pair, occurs in; the halves of broken words don't count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        counts: Counter[tuple[str, str | None]] = Counter()
+
+        def out() -> pa.RecordBatch:
+            words, grps = zip(*counts) if counts else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(grps, pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "grp", "n"])
+
         for b in batches:
-            for t in b.column(0).to_pylist():
+            for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 low = without_breaks(t.lower())
-                counts.update(set(WORD.findall(low)))
-                counts.update({p.replace("‐", "-").replace("‑", "-") for p in PAIR.findall(low)} if "-" in low else ())
-            if len(counts) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-                counts = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-
-    return papers.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("df"))
+                counts.update((w, g) for w in set(WORD.findall(low)))
+                counts.update({(p.replace("‐", "-").replace("‑", "-"), g) for p in PAIR.findall(low)} if "-" in low else ())
+                if len(counts) > 500_000:
+                    yield out()
+                    counts.clear()
+        yield out()
+
+    # only texts that share their group are counted by group
+    src = papers.where(F.col(text).isNotNull()).select(F.md5(text).alias("id"), F.col(text).alias("text"))
+    shared = src.select("id").join(groups, "id").groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp")
+    own = groups.join(shared, "grp").select("id", "grp")
+    found = src.join(own, "id", "left").select("text", "grp").mapInArrow(run, "word string, grp string, n bigint")
+    once = found.groupBy("word", "grp").agg(F.sum("n").alias("n"))
+    return once.groupBy("word").agg(F.sum(F.when(F.col("grp").isNull(), F.col("n")).otherwise(F.lit(1).cast("bigint"))).alias("df"))
 
 
 def anagram(word: Column) -> Column:
@@ -166,16 +206,17 @@ def anagram(word: Column) -> Column:
     return F.aggregate(F.split(word, ""), F.lit(0).cast("bigint"), lambda a, c: a + F.when(c == "", F.lit(0).cast("bigint")).otherwise(F.pmod(F.xxhash64(c), F.lit(1 << 40))))
 
 
-def corrections(evidence: DataFrame, frequent_from: int) -> DataFrame:
-    """(word, variant, df, variant_df): rare words with their best frequent confusable variant."""
+def corrections(evidence: DataFrame, frequent_from: int, asked: DataFrame | None = None) -> DataFrame:
+    """(word, variant, df, variant_df): words with their best confusable variant of sufficient frequency, of all words or of those asked for."""
     spark = evidence.sparkSession
-    usable = evidence.where((F.length("word") >= 4) & ~F.col("word").contains("-"))
+    long = (F.length("word") >= 4) & ~F.col("word").contains("-")
+    usable = evidence.where(long)
     has_digit = F.col("word").rlike("[0-9]")
     letters = F.length(F.regexp_replace("word", "[^\\p{L}]", ""))
-    rare = usable.where((F.col("df") < frequent_from) & (letters >= 3) & ~F.col("word").rlike("^[0-9]*[a-z]?$")).withColumn("hash", anagram(F.col("word")))
+    tested = (evidence if asked is None else asked).where(long & (letters >= 3) & ~F.col("word").rlike("^[0-9]*[a-z]?$")).withColumn("hash", anagram(F.col("word")))
     good = usable.where(~has_digit & (F.col("df") >= 2)).select(F.col("word").alias("variant"), F.col("df").alias("variant_df"), anagram(F.col("word")).alias("target"))
     table = spark.createDataFrame(CONFUSIONS, "misread string, right string").select("misread", "right", (anagram(F.col("right")) - anagram(F.col("misread"))).alias("diff"))
-    tried = rare.join(F.broadcast(table), F.col("word").contains(F.col("misread")))  # a fixed list of some 20 rows
+    tried = tested.join(F.broadcast(table), F.col("word").contains(F.col("misread")))  # a fixed list of some 20 rows
     met = tried.withColumn("target", F.col("hash") + F.col("diff")).join(good, "target")
     at = F.exists(
         F.sequence(F.lit(1), F.length("word")),
@@ -183,7 +224,7 @@ def corrections(evidence: DataFrame, frequent_from: int) -> DataFrame:
         & (F.concat(F.substring(F.col("word"), F.lit(1), i - 1), F.col("right"), F.substring(F.col("word"), i + F.length("misread"), F.length("word"))) == F.col("variant")),
     )
     # a digit among letters is an error for certain; a real word needs the stronger evidence
-    enough = F.when(has_digit, F.col("variant_df") > F.col("df")).otherwise(F.col("variant_df") >= RATIO * F.col("df"))
+    enough = F.when(F.col("df") >= frequent_from, F.col("variant_df") >= FAR * F.col("df")).when(has_digit, F.col("variant_df") > F.col("df")).otherwise(F.col("variant_df") >= RATIO * F.col("df"))
     return met.where(enough & at).groupBy("word").agg(F.max_by(F.struct("variant", "variant_df"), F.struct("variant_df", "variant")).alias("v"), F.first("df").alias("df")).select("word", "v.variant", "df", "v.variant_df")
 
 
@@ -202,10 +243,13 @@ class Scan:
 
     def __init__(self, records: DataFrame, papers: DataFrame):
         spark = records.sparkSession
-        self.evidence = cut(word_evidence(papers))
-        n = papers.count()
-        self.frequent_from = max(5, n // COMMON)
-        lexicon = {r["word"] for r in self.evidence.where((F.col("df") >= self.frequent_from) & ~F.col("word").contains("-")).select("word").toLocalIterator()}
+        groups = cut(text_groups(papers))
+        self.evidence = cut(word_evidence(papers, groups))
+        self.frequent_from = max(5, groups.select("grp").distinct().count() // COMMON)
+        known = self.evidence.where(~F.col("word").contains("-"))
+        known_fixes = cut(corrections(known, self.frequent_from))
+        frequent = known.where(F.col("df") >= self.frequent_from).join(known_fixes, "word", "left_anti")
+        lexicon = {r["word"] for r in frequent.select("word").toLocalIterator()}
         shared = Shared(spark, lexicon)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,8 +291,7 @@ class Scan:
         rare = self.first.select(*key, F.explode("rare").alias("word"))
         # words that occur in no paper's text are as rare as can be
         seen = rare.select("word").distinct().join(self.evidence, "word", "left").select("word", F.coalesce("df", F.lit(0)).alias("df"))
-        known = self.evidence.where(~F.col("word").contains("-"))
-        self.fixes = cut(corrections(known.unionByName(seen.where("df = 0")), self.frequent_from))
+        self.fixes = known_fixes.unionByName(cut(corrections(known, self.frequent_from, seen.where("df = 0"))))
         self.chars = rare.join(self.fixes.select("word", "variant"), "word")
         breaks = self.first.select(*key, F.explode("pairs").alias("p")).select(*key, F.col("p")[0].alias("w1"), F.col("p")[1].alias("w2"))
         self.breaks = breaks.join(break_verdicts(breaks, self.evidence), ["w1", "w2"])

@@ -92,3 +92,21 @@ def test_empty(spark):
     records = scans.scan_records(none, none, papers)
     scan = scans.Scan(records, papers)
     assert scan.kinds().count() == 0 and scan.repaired(records).count() == 0
+
+
+def test_copies_and_frequent_errors(spark):
+    rnd = random.Random(5)
+    ws = GOOD.split()
+    clean = [(f"c{i}", None, " ".join(rnd.sample(ws, len(ws))) + ".", None, T) for i in range(150)]
+    noisy = " ".join(rnd.sample(ws, len(ws))).replace("selectivity", "se1ectivity").replace("reaction", "rcaction")
+    alike = [(f"e{i}", None, noisy, None, T) for i in range(30)] + [(f"f{i}", None, noisy + f" Appendix {i}.", None, T) for i in range(30)]
+    versions = [("v", None, " ".join(rnd.sample(ws, len(ws))).replace("pathway", "pathvvay") + f" Draft {i}.", None, T) for i in range(40)]
+    often = [(f"o{i}", None, " ".join(rnd.sample(ws, len(ws))).replace("mesoporous", "rnesoporous"), None, T) for i in range(6)]
+    papers = spark.createDataFrame(clean + alike + versions + often + [("x", None, None, None, T)], PAPERS)
+    none = spark.createDataFrame([], "object_id string, section_id string, paper_id string, text string")
+    scan = scans.Scan(scans.scan_records(none, none, papers), papers)
+    df = {r["word"]: r["df"] for r in scan.evidence.collect()}
+    assert (df["se1ectivity"], df["pathvvay"], df["rnesoporous"], df["silica"]) == (1, 1, 6, 150 + 1 + 1 + 6)
+    assert df["rnesoporous"] >= scan.frequent_from
+    assert {r["record_id"] for r in scan.kinds().collect() if r["kind"] == "chars"} == {r[0] for r in alike + versions + often}
+    assert {r["word"]: r["variant"] for r in scan.fixes.collect()} == {"se1ectivity": "selectivity", "rcaction": "reaction", "pathvvay": "pathway", "rnesoporous": "mesoporous"}
