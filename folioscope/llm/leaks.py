@@ -222,6 +222,16 @@ def leaked_spans(corpus: DataFrame, items: DataFrame, key: str = "doc_id", text:
     return out
 
 
+def word_places(text: str) -> list[tuple[int, int]]:
+    """Where in the text each of its words() stands; lower-casing may lengthen a character and so split a word."""
+    low = text.lower()
+    places = [m.span() for m in WORD.finditer(low)]
+    if len(low) == len(text):
+        return places
+    source = [i for i, c in enumerate(text) for _ in c.lower()]
+    return [(source[s], source[e - 1] + 1) for s, e in places]
+
+
 def remove_leaks(corpus: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS, max_coverage: float = 0.5) -> DataFrame:
     """(key, text, n_removed, dropped) of every leaking row; other rows are not returned.
 
@@ -251,15 +261,14 @@ def remove_leaks(corpus: DataFrame, items: DataFrame, key: str = "doc_id", text:
                         merged[-1][1] = max(merged[-1][1], f + n)
                     else:
                         merged.append([f, f + n])
-                places = [m.span() for m in WORD.finditer(t)]
                 covered = sum(e - s for s, e in merged)
                 rows.append(i)
                 counts.append(len(merged))
-                if covered > max_coverage * len(ws) or len(places) != len(ws):
+                if covered > max_coverage * len(ws):
                     texts.append(None)
                     drops.append(True)
                     continue
-                keep, at = [], 0
+                keep, at, places = [], 0, word_places(t)
                 for s, e in merged:
                     keep.append(t[at : places[s][0]])
                     at = places[e - 1][1]

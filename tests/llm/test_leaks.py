@@ -54,3 +54,15 @@ def test_empty(spark):
     i = spark.createDataFrame([], "item_id bigint, text string")
     assert leaks.leaked_spans(c, i).count() == 0
     assert leaks.leaked_spans(spark.createDataFrame([(1, "a b")], c.schema), i).count() == 0
+
+
+def test_removal_where_lower_case_is_longer(spark):
+    item = " ".join(f"w{k}" for k in range(15))
+    rest = " and other words" * 20
+    docs = [(1, f"İİ in İstanbul: {item} (after){rest} İ"), (2, f"ΟΔΟΣ {item}, İw0{rest}"), (3, f"{item} İ")]
+    c = spark.createDataFrame(docs, "doc_id bigint, text string")
+    i = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    got = {r["doc_id"]: (r["text"], r["dropped"]) for r in leaks.remove_leaks(c, i).collect()}
+    assert got == {1: (f"İİ in İstanbul:  (after){rest} İ", False), 2: (f"ΟΔΟΣ , İw0{rest}", False), 3: (None, True)}
+    for _, t in docs:
+        assert [t[s:e].lower().strip("̇") for s, e in leaks.word_places(t) if t[s:e].isascii()] == [w for w, (s, e) in zip(words(t), leaks.word_places(t)) if t[s:e].isascii()]
