@@ -4,16 +4,17 @@ Model: a smoothed character bigram model, its counts hashed into tables of fixed
 clean records (no replacement or C1 control characters, nothing any chain could turn into other text).
 
 Candidates: chains of up to two steps "encode with the codec it was wrongly read in, decode with the
-right one". Chains that end in UTF-8 are tried on every run of non-ASCII characters, valid multi-byte
-sequences in it being replaced; chains that end in a legacy charset are tried, for every pair of a wrong and
+right one", the codecs of two steps to UTF-8 being any ordered pair. Chains that end in UTF-8 are tried on every
+run of non-ASCII characters, valid multi-byte sequences in it being replaced; chains that end in a legacy charset are tried, for every pair of a wrong and
 a right codec, on stretches with three high characters in a row. Between Cyrillic charsets every run changes
 by itself, so the consecutive runs that gain most together are taken, and clean ones beside them stay; small and
 capital Cyrillic letters count as one there, since KOI8-R and cp1251 swap them. No chain is certain by its bytes
 there, so Cyrillic records that are garbled so are among those the model is trained on; they are told by being
 rarer than the clean ones. Each candidate is scored by the model in its context against the text as it stands;
 the likeliest is accepted when it gains more than a margin. The margin is validated on held-out clean records:
-their runs are garbled by every chain, and the margin is the gain that all but `MISS` of these exceed, though
-never under `LEAST` nats.
+their runs are garbled by every chain of one step from UTF-8, and the margin is the gain that all but `MISS` of
+these exceed, though never under `LEAST` nats. Chains of two steps and to legacy charsets are accepted by the same
+margin, which is not validated for them.
 
 A record is affected when a chain was accepted, or when it holds U+FFFD or C1 control characters (other
 than NEL, a line end), which no correct decoding of text yields; those may be beyond restoring.
@@ -113,7 +114,7 @@ def run_candidates(run: str) -> list[str]:
         one = as_utf8(run, codec)
         if one is not None and one != run:
             found[one] = None
-            for again in ("cp1252", codec):
+            for again in WRONG:
                 two = as_utf8(one, again)
                 if two is not None and two != one:
                     found[two] = None
@@ -327,7 +328,7 @@ class Repairer:
 
 
 def garble(run: str) -> Iterator[str]:
-    """The run as every chain would have garbled it, where the codec can hold all its bytes."""
+    """The run as every chain of one step from UTF-8 would have garbled it, where the codec can hold all its bytes."""
     raw = run.encode()
     for codec in WRONG:
         back = {b: c for c, b in TABLES[codec].items()}

@@ -75,3 +75,10 @@ def test_single_byte_charsets_read_in_another(spark):
     rows = list(enumerate(clean)) + [(10_000 + i, b) for i, (_, b) in enumerate(bad)] + [(20_000, ru.upper()), (20_001, ru.swapcase())]
     got = {r["doc_id"]: r["text"] for r in mb.garbled_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {10_000 + i: t for i, (t, _) in enumerate(bad)}
+
+
+def test_two_steps_through_every_ordered_pair():
+    for first in mb.WRONG:
+        for then in mb.WRONG:
+            for run in ("Реакция", "°", "é"):
+                assert run in mb.run_candidates(wrong(wrong(run, "utf-8", first), "utf-8", then)), (first, then, run)
