@@ -52,6 +52,10 @@ SMALL = {"of", "for", "the", "and", "de", "at", "in"}
 PLAIN = str.maketrans({"ø": "o", "đ": "d", "ł": "l", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "ð": "d", "þ": "th"})
 
 
+#: Marks names without parts, which meet only each other, as whole strings.
+UNPARSED = "="
+
+
 def fold(s: str) -> str:
     s = unicodedata.normalize("NFKD", s.lower()).translate(PLAIN)
     return "".join(c for c in s if not unicodedata.combining(c))
@@ -169,6 +173,8 @@ def family_match(a: str, b: str) -> float:
 
 def person_score(a: tuple[str, list[str]], b: tuple[str, list[str]], full_of: dict[str, set[str]]) -> float:
     f = family_match(a[0], b[0])
+    if not a[1] and not b[1]:
+        return f
     if not f or not a[1] or not b[1]:
         return 0.0
     g = given_match(a[1][0], b[1][0], full_of)
@@ -225,6 +231,12 @@ def organisation_score(a: tuple[str, str, str], b: tuple[str, str, str]) -> floa
     return f * t if f * t >= 0.8 else 0.0
 
 
+def whole_name(name: str) -> str | None:
+    """All letters and digits of a name that can't be parsed; None without any letter."""
+    part = re.sub(r"[\W_]", "", fold(name))
+    return part if any(c.isalpha() for c in part) else None
+
+
 def trigrams(s: str) -> list[str]:
     s = f"##{s}##"
     return sorted({s[i : i + 3] for i in range(len(s) - 2)})
@@ -282,6 +294,8 @@ def parsed_persons(names: DataFrame, nicknames: dict[str, set[str]]) -> DataFram
                     # the second letter too: one edit at the head of a name leaves it among the first two
                     blocks = set(x[:2]) | {f[0] for f in full_of.get(x, ())}
                     out.append((name, sorted(blocks), p[0], p[1]))
+                elif w := whole_name(name):
+                    out.append((name, sorted({UNPARSED + c for c in w[:2]}), w, []))
             cols = list(zip(*out)) or [(), (), (), ()]
             kinds = [pa.string(), pa.list_(pa.string()), pa.string(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["name", "blocks", "part", "rest"])
@@ -297,6 +311,8 @@ def parsed_organisations(names: DataFrame) -> DataFrame:
                 p = parse_organisation(name)
                 if p:
                     out.append((name, [p[1]], p[0], [p[1], p[2]]))
+                elif w := whole_name(name):
+                    out.append((name, [UNPARSED], w, [UNPARSED, ""]))
             cols = list(zip(*out)) or [(), (), (), ()]
             kinds = [pa.string(), pa.list_(pa.string()), pa.string(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["name", "blocks", "part", "rest"])

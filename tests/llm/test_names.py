@@ -101,3 +101,16 @@ def test_empty(spark):
     df = spark.createDataFrame([], "authors array<string>")
     for persons in (True, False):
         assert nm.link_variants(nm.distinct_names(df, "authors"), persons, {}).count() == 0
+
+
+def test_names_that_cannot_be_parsed_keep_a_row(spark):
+    persons = ["Zograbrump", "zograbrump", "Zograbrunp", "李小龍", "Dorothy Zograbrump", "Zograbrump, Dorothy", "Å.", "!!", "123"]
+    df = spark.createDataFrame([(n, 1) for n in persons], "name string, n bigint")
+    got = {r["name"]: r["entity"] for r in nm.link_variants(df, True, NICK).collect()}
+    assert set(got) == set(persons) - {"!!", "123"}
+    assert got["Zograbrump"] == got["zograbrump"] == got["Zograbrunp"] != got["Dorothy Zograbrump"]
+    assert len(set(got.values())) == 4
+    places = ["UW", "u.w.", "Of the", "University of Vortaheim", "--"]
+    df = spark.createDataFrame([(n, 1) for n in places], "name string, n bigint")
+    got = {r["name"]: r["entity"] for r in nm.link_variants(df, False, NICK).collect()}
+    assert set(got) == set(places) - {"--"} and got["UW"] == got["u.w."] and len(set(got.values())) == 3
