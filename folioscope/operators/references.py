@@ -3,7 +3,9 @@
 States (one per distinct referring record and target): `deleted` when the last removal is at or after
 the target's last ingestion, or it is logged without any row; `missing` when it has no row and no log
 entry; `late` when its first ingestion is more than `late_hours` after the referring record's first
-ingestion. Everything else is a sound reference.
+ingestion. Everything else is a sound reference, and an inherited orphan when its target is orphaned.
+
+Ids of either side are compared trimmed and in lower case.
 
 Nulls: null or blank references are no references; a null record id, ingestion or removal time never
 crashes - a null ingestion time counts as absent from min/max, so it can make nothing late. Extra
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.runtime import cut
+from folioscope.runtime import materialise
 
 BLANK = r"(?U)^[\s\x{200b}\x{feff}]+|[\s\x{200b}\x{feff}]+$"
 
@@ -70,7 +72,7 @@ def key_state(tables: dict[str, DataFrame], keys: list[tuple[str, str]], removal
         at = F.col("ingested_at")
         none = F.lit(None).cast("timestamp")
         parts.append(
-            tables[name].select(F.lit(name).alias("target_table"), F.col(key).alias("target_id"), at.alias("at"), none.alias("gone"), F.lit(1).alias("stored"), F.lit(0).alias("logged"))
+            tables[name].select(F.lit(name).alias("target_table"), clean_key(key).alias("target_id"), at.alias("at"), none.alias("gone"), F.lit(1).alias("stored"), F.lit(0).alias("logged"))
         )
     none = F.lit(None).cast("timestamp")
     parts.append(
@@ -88,8 +90,8 @@ def key_state(tables: dict[str, DataFrame], keys: list[tuple[str, str]], removal
     )
 
 
-def orphan_references(tables: dict[str, DataFrame], keys: list[ForeignKey], removals: DataFrame, late_hours: int = 24) -> DataFrame:
-    """(ref_table, record_id, target_table, target_id, state, ref_first) of every orphan reference.
+def reference_states(tables: dict[str, DataFrame], keys: list[ForeignKey], removals: DataFrame, late_hours: int = 24) -> DataFrame:
+    """(ref_table, record_id, target_table, target_id, ref_first, state) of every distinct reference; sound ones have no state.
 
     One equi-join of the distinct references with the aggregated key states; the join key is the pair
     of table and id, which is unique on the state side, so a hot target costs one state row.
@@ -107,36 +109,51 @@ def orphan_references(tables: dict[str, DataFrame], keys: list[ForeignKey], remo
         .when(~stored, "missing")
         .when(F.col("first_in").cast("timestamp") > F.col("ref_first").cast("timestamp") + F.expr(f"INTERVAL {late_hours} HOURS"), "late")
     )
-    return joined.withColumn("state", state).where(F.col("state").isNotNull()).select("ref_table", "record_id", "target_table", "target_id", "state", "ref_first")
+    return joined.select("ref_table", "record_id", "target_table", "target_id", "ref_first", state.alias("state"))
 
 
-def orphan_cascade(tables: dict[str, DataFrame], keys: list[ForeignKey], removals: DataFrame, late_hours: int = 24) -> DataFrame:
-    """(ref_table, record_id, orphan, depth): records orphaned directly or through what they refer to.
+class OrphanCascade:
+    """The fixpoint down the foreign-key graph.
 
-    Fixpoint over the foreign-key graph: a record with a deleted or missing reference is a direct
-    orphan (depth 0); a record that refers to an orphaned record inherits it (depth = rounds needed).
-    Every round semi-joins only the last frontier with the distinct edges and stops when it is empty;
-    the edges are laid down once by a reliable checkpoint, each frontier likewise. Late targets exist,
-    so they orphan nothing.
+    A record with a deleted or missing reference is a direct orphan (depth 0); a record that refers to
+    an orphaned record inherits it (depth = rounds needed). Every round semi-joins the references with the
+    last frontier only and stops when that is empty. References and frontiers are laid down as tables in the
+    shared folder, which ends their lineage and gives the planner true sizes: it broadcasts a small frontier
+    and shuffles a large one. Late targets exist, so they orphan nothing.
     """
-    edges = None
-    for fk in keys:
-        e = reference_edges(tables[fk.ref_table], fk).select("ref_table", "record_id", "target_table", "target_id")
-        edges = e if edges is None else edges.unionByName(e)
-    edges = cut(edges)
-    direct = orphan_references(tables, keys, removals, late_hours).where(F.col("state") != "late")
-    found = cut(direct.select("ref_table", "record_id").distinct().withColumn("depth", F.lit(0)))
-    frontier, depth = found, 0
-    while not frontier.isEmpty():
-        depth += 1
-        hit = edges.join(frontier.select(F.col("ref_table").alias("target_table"), F.col("record_id").alias("target_id")), ["target_table", "target_id"], "left_semi").select("ref_table", "record_id").distinct()
-        frontier = cut(hit.join(found, ["ref_table", "record_id"], "left_anti").withColumn("depth", F.lit(depth)))
-        found = cut(found.unionByName(frontier))
-    return found.select("ref_table", "record_id", F.when(F.col("depth") == 0, "direct").otherwise("inherited").alias("orphan"), "depth")
+
+    def __init__(self, tables: dict[str, DataFrame], keys: list[ForeignKey], removals: DataFrame, late_hours: int = 24):
+        ref = ["ref_table", "record_id"]
+        self.references = materialise(reference_states(tables, keys, removals, late_hours))
+        lost = self.references.where(F.col("state").isin("deleted", "missing"))
+        rounds = [materialise(lost.select(*ref).distinct().withColumn("depth", F.lit(0)))]
+        # an id is compared as references are: trimmed and in lower case
+        as_target = lambda df: df.select(F.col("ref_table").alias("target_table"), clean_key("record_id").alias("target_id"))
+        found = rounds[0]
+        while not rounds[-1].isEmpty():
+            hit = self.references.join(as_target(rounds[-1]), ["target_table", "target_id"], "left_semi").select(*ref).distinct()
+            rounds.append(materialise(hit.join(found, ref, "left_anti").withColumn("depth", F.lit(len(rounds)))))
+            found = found.unionByName(rounds[-1])
+        self.found = found
+        self._as_target = as_target
+
+    def records(self) -> DataFrame:
+        """(ref_table, record_id, orphan, depth): one row per orphaned record."""
+        return self.found.select("ref_table", "record_id", F.when(F.col("depth") == 0, "direct").otherwise("inherited").alias("orphan"), "depth")
+
+    def orphans(self) -> DataFrame:
+        """(ref_table, record_id, target_table, target_id, orphan, state, ref_first): every orphan reference.
+
+        Direct ones have a state; inherited ones, which name an orphaned record and are sound themselves, have none.
+        """
+        direct = self.references.where(F.col("state").isNotNull()).withColumn("orphan", F.lit("direct"))
+        sound = self.references.where(F.col("state").isNull())
+        inherited = sound.join(self._as_target(self.found).distinct(), ["target_table", "target_id"], "left_semi").withColumn("orphan", F.lit("inherited"))
+        return direct.unionByName(inherited).select("ref_table", "record_id", "target_table", "target_id", "orphan", "state", "ref_first")
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:
-    """Counts of orphan references per referring table, month of its first ingestion and state."""
-    return orphans.groupBy("ref_table", F.date_format("ref_first", "yyyy-MM").alias("period"), "state").agg(
+    """Counts of orphan references per referring table, month of its first ingestion, direct or inherited, and state."""
+    return orphans.groupBy("ref_table", F.date_format("ref_first", "yyyy-MM").alias("period"), "orphan", "state").agg(
         F.count("*").alias("n_references"), F.countDistinct("record_id").alias("n_records")
     )

@@ -1,6 +1,6 @@
 from datetime import datetime, timedelta
 
-from folioscope.operators.references import ForeignKey, orphan_cascade, orphan_references, orphan_report
+from folioscope.operators.references import ForeignKey, OrphanCascade, orphan_report
 
 T0 = datetime(2024, 1, 1)
 KEYS = [
@@ -20,6 +20,18 @@ def rows(df, *cols):
     return sorted(tuple(r[c] for c in cols) for r in df.collect())
 
 
+def direct(tables, removals):
+    return OrphanCascade(tables, KEYS, removals).orphans().where("orphan = 'direct'")
+
+
+def test_ids_in_any_case(spark):
+    tables, removals = frames(spark, [("S1", ["O1", "o2"], T0, None), ("S2", ["O3"], T0, None)], [("O1", "s1", T0, 0), ("o2", " s1 ", T0, 0), ("O3", "s2", T0, 0)], [("objects", "O2", T0, None)])
+    cascade = OrphanCascade(tables, KEYS, removals)
+    assert rows(cascade.orphans().where("state IS NOT NULL"), "record_id", "target_id", "state") == [("S1", "o2", "deleted")]
+    assert rows(cascade.records(), "record_id", "orphan", "depth") == [("O1", "inherited", 1), ("S1", "direct", 0), ("o2", "inherited", 1)]
+    assert rows(orphan_report(cascade.orphans()).where("orphan = 'inherited'"), "ref_table", "period", "n_references", "n_records") == [("objects", "2024-01", 2, 2), ("sections", "2024-01", 1, 1)]
+
+
 def test_states(spark):
     tables, removals = frames(
         spark,
@@ -39,15 +51,15 @@ def test_states(spark):
         ],
         [("objects", "gone", T0, "r"), ("objects", "back", T0, "r"), ("objects", "o1", T0, None), ("objects", "o1", T0, None), ("papers", "o2", T0, "r")],
     )
-    got = rows(orphan_references(tables, KEYS, removals), "ref_table", "record_id", "target_id", "state")
+    got = rows(direct(tables, removals), "ref_table", "record_id", "target_id", "state")
     assert got == [
         ("objects", "o2", "s9", "missing"),
         ("sections", "s1", "gone", "deleted"),
         ("sections", "s1", "o1", "deleted"),
         ("sections", "s3", "late", "late"),
     ]
-    report = rows(orphan_report(orphan_references(tables, KEYS, removals)), "ref_table", "period", "state", "n_references", "n_records")
-    assert ("sections", "2024-01", "deleted", 2, 1) in report
+    report = rows(orphan_report(direct(tables, removals)), "ref_table", "period", "orphan", "state", "n_references", "n_records")
+    assert ("sections", "2024-01", "direct", "deleted", 2, 1) in report
 
 
 def test_cascade_inherits(spark):
@@ -57,18 +69,18 @@ def test_cascade_inherits(spark):
         [("o1", "s1", T0, 0), ("o2", "s2", T0, 0), ("o9", "s3", T0, 0)],
         [],
     )
-    got = rows(orphan_cascade(tables, KEYS, removals), "record_id", "orphan", "depth")
+    got = rows(OrphanCascade(tables, KEYS, removals).records(), "record_id", "orphan", "depth")
     assert got == [("o1", "inherited", 1), ("o2", "inherited", 3), ("s1", "direct", 0), ("s2", "inherited", 2)]
 
 
 def test_empty_tables(spark):
     tables, removals = frames(spark, [], [], [])
-    assert orphan_references(tables, KEYS, removals).count() == 0
-    assert orphan_cascade(tables, KEYS, removals).count() == 0
+    cascade = OrphanCascade(tables, KEYS, removals)
+    assert cascade.orphans().count() == cascade.records().count() == orphan_report(cascade.orphans()).count() == 0
 
 
 def test_hot_target_and_repeats(spark):
     tables, removals = frames(spark, [], [(f"o{i}", "hot", T0, 0) for i in range(3000)] * 2, [])
-    df = orphan_references(tables, KEYS, removals)
+    df = OrphanCascade(tables, KEYS, removals).orphans()
     assert df.count() == 3000
     assert {r["state"] for r in df.select("state").distinct().collect()} == {"missing"}
