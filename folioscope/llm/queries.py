@@ -47,7 +47,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_members(spark: SparkSession, d: str) -> DataFrame:
-    return split.new_members(table(spark, d, "sections"), p4_pieces(spark, d))
+    return split.new_members(table(spark, d, "sections"))
 
 
 def p5_entities(spark: SparkSession, d: str) -> DataFrame:

@@ -113,26 +113,30 @@ def split_text(text: str | None, lim: Limits = Limits()) -> list[tuple[int, int,
     return out
 
 
-def piece_id(key: str, n: int, start: int, end: int) -> str:
-    return "chunk_" + hashlib.sha1(f"{key}:{n}:{start}:{end}".encode()).hexdigest()[:16]
+def piece_id(key: str, n: int, text: str) -> str:
+    return "chunk_" + hashlib.sha1(f"{key}:{n}:{text}".encode("utf-8", "surrogatepass")).hexdigest()[:16]
+
+
+def least_chars(lim: Limits) -> int:
+    """Characters of the shortest text that can exceed the limits."""
+    return min(lim.max_chars + 1, 2 * lim.max_tokens + 1)
 
 
 def split_oversized(df: DataFrame, key: str = "section_id", text: str = "text", lim: Limits = Limits()) -> DataFrame:
     """(key, piece_no, chunk_id, char_start, char_end, own_start, n_tokens, text) of every oversized row.
 
     Rows that cannot exceed the limits are dropped by a length test in the JVM before any text reaches
-    Python. Of re-ingested rows every distinct content is cut once: pieces are deduplicated by key and
-    chunk id, whose hash covers the offsets. Null keys are left out.
+    Python. Of re-ingested rows every distinct content is cut: pieces are deduplicated by key and
+    chunk id, whose hash covers their number and text. Null keys are left out.
     """
-    least = min(lim.max_chars + 1, 2 * lim.max_tokens + 1)
-    src = df.select(F.col(key).cast("string").alias(key), F.col(text).alias(text)).where(F.col(key).isNotNull() & (F.length(text) >= least))
+    src = df.select(F.col(key).cast("string").alias(key), F.col(text).alias(text)).where(F.col(key).isNotNull() & (F.length(text) >= least_chars(lim)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[] for _ in range(8)]
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for n, (s, e, own) in enumerate(split_text(t, lim)):
-                    for c, v in zip(cols, (k, n, piece_id(k, n, s, e), s, e, own, len(t[s:e].split()), t[s:e])):
+                    for c, v in zip(cols, (k, n, piece_id(k, n, t[s:e]), s, e, own, len(t[s:e].split()), t[s:e])):
                         c.append(v)
             kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[key, "piece_no", "chunk_id", "char_start", "char_end", "own_start", "n_tokens", "text"])
@@ -140,11 +144,17 @@ def split_oversized(df: DataFrame, key: str = "section_id", text: str = "text",
     return src.mapInArrow(run, f"`{key}` string, piece_no int, chunk_id string, char_start int, char_end int, own_start int, n_tokens int, text string").dropDuplicates([key, "chunk_id"])
 
 
-def new_members(sections: DataFrame, pieces: DataFrame, key: str = "section_id", members: str = "member_chunk_ids") -> DataFrame:
+def new_members(sections: DataFrame, key: str = "section_id", members: str = "member_chunk_ids", text: str = "text", order: str = "ingested_at", lim: Limits = Limits()) -> DataFrame:
     """(key, member_chunk_ids): every section with its new chunk ids, unsplit ones with their own.
 
-    A section's list is bounded by its own text, so collecting it per key is safe.
+    Only the latest row of a section counts (by time, nulls first, then by content). It is told by a hash, so no
+    text is shuffled to find it. A section's list is bounded by its own text, so collecting it per key is safe.
     """
-    ids = pieces.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "chunk_id"))), lambda x: x["chunk_id"]).alias("fresh"))
-    own = sections.groupBy(key).agg(F.max_by(members, "ingested_at").alias(members))
-    return own.join(ids, key, "left").select(key, F.coalesce("fresh", members).alias(members))
+    content = F.md5(F.coalesce(F.col(text), F.lit("")))
+    rows = sections.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias(key), F.col(members).alias(members), F.col(order).alias("at"), content.alias("content"))
+    at = F.struct(F.col("at").isNotNull(), "at", "content", F.xxhash64(members))
+    latest = rows.groupBy(key).agg(F.max_by(F.struct(members, "content"), at).alias("r")).select(key, f"r.{members}", "r.content")
+    large = sections.where(F.length(text) >= least_chars(lim)).select(F.col(key).cast("string").alias(key), F.col(text).alias(text), content.alias("content"))
+    current = large.join(latest.select(key, "content"), [key, "content"], "left_semi")
+    ids = split_oversized(current, key, text, lim).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "chunk_id"))), lambda x: x["chunk_id"]).alias("fresh"))
+    return latest.join(ids, key, "left").select(key, F.coalesce("fresh", members).alias(members))

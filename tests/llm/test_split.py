@@ -45,5 +45,19 @@ def test_rows(spark):
     assert {r["section_id"] for r in pieces.select("section_id").collect()} == {"s1"}
     n = pieces.count()
     assert n == pieces.select("chunk_id").distinct().count() == len(split_text(big))
-    members = {r["section_id"]: r["member_chunk_ids"] for r in new_members(df, pieces).collect()}
+    members = {r["section_id"]: r["member_chunk_ids"] for r in new_members(df).collect()}
     assert len(members["s1"]) == n and members["s2"] == ["c2"] and members["s3"] is None
+
+
+def test_members_of_the_latest_content_only(spark):
+    long = lambda w: f"{w} base. " * 900
+    t = [datetime(2024, m, 1) for m in (1, 2, 3)]
+    df = spark.createDataFrame(
+        [("s1", long("acid"), ["old"], t[0]), ("s1", long("salt"), ["new"], t[2]), ("s2", long("acid"), ["c"], t[0]), ("s2", "now short", ["d"], t[1]), ("s3", "x", None, None), ("s3", "y", ["e"], t[0])],
+        "section_id string, text string, member_chunk_ids array<string>, ingested_at timestamp",
+    )
+    got = {r["section_id"]: r["member_chunk_ids"] for r in new_members(df).collect()}
+    pieces = {r["chunk_id"]: r["text"] for r in split_oversized(df).collect()}
+    assert len(got["s1"]) == len(split_text(long("salt"))) and all("salt" in pieces[c] for c in got["s1"])
+    assert got["s2"] == ["d"] and got["s3"] == ["e"]
+    assert new_members(df.limit(0)).count() == 0
