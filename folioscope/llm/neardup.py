@@ -13,7 +13,7 @@ before anything is joined. Keys met once are dropped before the join, and hot ke
 task holds more than a block of one bucket.
 
 Null columns count as empty; records with fewer than n words have no shingles and are in no pair;
-repeated rows of an id count once (the latest).
+repeated rows of an id count once: the latest, by time, nulls first, and then by a hash of the content.
 """
 
 from __future__ import annotations
@@ -69,34 +69,34 @@ def packed(fp: np.ndarray) -> np.ndarray:
     return (nib << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
+def version_of(texts: list[str]) -> Column:
+    """Tells the contents of one id apart."""
+    return F.xxhash64(*texts, *[F.col(t).isNull() for t in texts])
+
+
 def signatures(df: DataFrame, key: str, texts: list[str], order: str | None, n: int) -> DataFrame:
-    """(id, at, n_shingles, content, f0..f3, keys) of every row with a shingle; narrow."""
+    """(id, at, version, n_shingles, content, f0..f3, keys) of every row; narrow. Rows without any shingle have no keys."""
     at = F.col(order).cast("timestamp") if order else F.lit(None).cast("timestamp")
-    src = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("id"), at.alias("at"), *[F.col(t).cast("string").alias(f"t{i}") for i, t in enumerate(texts)])
-    names = ["id", "at", "n_shingles", "content", *[f"f{i}" for i in range(SYMBOLS // 16)], "keys"]
+    src = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("id"), at.alias("at"), version_of(texts).alias("version"), *[F.col(t).cast("string").alias(f"t{i}") for i, t in enumerate(texts)])
+    names = ["id", "at", "version", "n_shingles", "content", *[f"f{i}" for i in range(SYMBOLS // 16)], "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, size, content, packs, balls = [], [], [], [], []
-            for i, parts in enumerate(zip(*[b.column(j).to_pylist() for j in range(2, b.num_columns)])):
+            size, content, packs, balls = [], [], [], []
+            for parts in zip(*[b.column(j).to_pylist() for j in range(3, b.num_columns)]):
                 s = shingle_set(list(parts), n)
-                if not len(s):
-                    continue
-                fp = fingerprint(s)
-                keep.append(i)
+                fp = fingerprint(s) if len(s) else np.zeros(SYMBOLS, np.uint64)
                 size.append(len(s))
                 content.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest())
                 packs.append(packed(fp))
-                balls.append(ball_keys(fp))
-            take = pa.array(keep, pa.int64())
+                balls.append(ball_keys(fp) if len(s) else np.empty(0, np.int64))
             f = np.array(packs, np.int64).reshape(-1, SYMBOLS // 16)
-            each = SEGMENT * (INDEXED // SEGMENT)
-            flat = pa.array(np.concatenate(balls) if balls else np.empty(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * each), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(size, pa.int32()), pa.array(content, pa.string()), *[pa.array(f[:, j]) for j in range(f.shape[1])], lists], names=names)
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in balls])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(balls) if balls else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(size, pa.int32()), pa.array(content, pa.string()), *[pa.array(f[:, j]) for j in range(f.shape[1])], lists], names=names)
 
     fs = ", ".join(f"f{i} bigint" for i in range(SYMBOLS // 16))
-    return src.mapInArrow(run, f"id string, at timestamp, n_shingles int, content string, {fs}, keys array<bigint>")
+    return src.mapInArrow(run, f"id string, at timestamp, version bigint, n_shingles int, content string, {fs}, keys array<bigint>")
 
 
 def shingle_table(df: DataFrame, key: str, texts: list[str], n: int) -> DataFrame:
@@ -141,7 +141,8 @@ def near_duplicates(df: DataFrame, key: str, texts: list[str], order: str | None
     """Classes of equal shingle sets and every verified link between different classes."""
     fs = [f"f{i}" for i in range(SYMBOLS // 16)]
     sig = signatures(df, key, texts, order, n)
-    latest = sig.groupBy("id").agg(F.max_by(F.struct("n_shingles", "content", *fs, "keys"), F.struct(F.coalesce("at", F.timestamp_seconds(F.lit(0))), "content")).alias("s")).select("id", "s.*")
+    newest = F.struct(F.col("at").isNotNull(), "at", "version")
+    latest = sig.groupBy("id").agg(F.max_by(F.struct("version", "n_shingles", "content", *fs, "keys"), newest).alias("s")).select("id", "s.*").where("n_shingles > 0")
     latest = cut(latest)
     reps = latest.groupBy("content").agg(F.min("id").alias("class_id"))
     members = latest.select("id", "content").join(reps, "content").select("id", "class_id")
@@ -162,10 +163,9 @@ def near_duplicates(df: DataFrame, key: str, texts: list[str], order: str | None
         .distinct()
     )
     near = cut(near)
-    # exact verification on the texts of the rows that are in a surviving pair; of repeated rows the latest content counts
-    need = near.select(F.col("class_a").alias("id")).union(near.select(F.col("class_b").alias("id"))).distinct()
-    at = F.col(order).cast("timestamp") if order else F.lit(None).cast("timestamp")
-    texts_of = df.select(F.col(key).cast("string").alias("id"), at.alias("at"), *texts).join(need, "id", "left_semi").groupBy("id").agg(F.max_by(F.struct(*texts), F.coalesce("at", F.timestamp_seconds(F.lit(0)))).alias("s")).select("id", "s.*")
+    # exact verification on the texts of the rows that are in a surviving pair, in the version that was indexed
+    need = near.select(F.col("class_a").alias("id")).union(near.select(F.col("class_b").alias("id"))).distinct().join(latest.select("id", "version"), "id")
+    texts_of = df.select(F.col(key).cast("string").alias("id"), version_of(texts).alias("version"), *texts).join(need, ["id", "version"], "left_semi").dropDuplicates(["id"])
     sets = shingle_table(texts_of, "id", texts, n)
     pairs = near.join(sets.select(F.col("id").alias("class_a"), F.col("shingles").alias("sa")), "class_a").join(sets.select(F.col("id").alias("class_b"), F.col("shingles").alias("sb")), "class_b")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -174,14 +174,27 @@ def near_duplicates(df: DataFrame, key: str, texts: list[str], order: str | None
 
 
 def expand_pairs(found: NearDuplicates) -> DataFrame:
-    """(a, b) with a < b: all pairs of different ids in linked or equal classes (a result of that form is asked for)."""
-    m, links = found.members, cut(found.links)
-    touched = links.select(F.col("class_a").alias("class_id")).union(links.select(F.col("class_b").alias("class_id"))).union(m.groupBy("class_id").agg(F.count("*").alias("c")).where("c > 1").select("class_id")).distinct()
-    m = cut(m.join(touched, "class_id", "left_semi"))
-    same = m.alias("x").join(m.alias("y"), (F.col("x.class_id") == F.col("y.class_id")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    """(a, b) with a < b: all pairs of different ids in linked or equal classes (a result of that form is asked for).
+
+    A class of more than `BLOCK` members is divided into blocks, so that a task makes the pairs of one block
+    with the class, however many copies there are.
+    """
+    links = cut(found.links)
+    size = found.members.groupBy("class_id").agg(F.count("*").alias("c"))
+    touched = links.select(F.col("class_a").alias("class_id")).union(links.select(F.col("class_b").alias("class_id"))).union(size.where("c > 1").select("class_id")).distinct()
+    blocks = size.join(touched, "class_id", "left_semi").select("class_id", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    m = cut(found.members.join(blocks, "class_id"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    one, all_ = m.select("class_id", "id", block), m.select("class_id", "id", every)
+    same = one.alias("x").join(all_.alias("y"), (F.col("x.class_id") == F.col("y.class_id")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    # a link meets the blocks of one class, and each of these the blocks of the other
+    count = m.select("class_id", "blocks").distinct()
+    either = links.join(count.select(F.col("class_id").alias("class_a"), F.col("blocks").alias("na")), "class_a").join(count.select(F.col("class_id").alias("class_b"), F.col("blocks").alias("nb")), "class_b")
+    cells = either.select("class_a", "class_b", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("block_a"), "nb").select("class_a", "class_b", "block_a", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block_b"))
     across = (
-        links.join(m.select(F.col("class_id").alias("class_a"), F.col("id").alias("p")), "class_a")
-        .join(m.select(F.col("class_id").alias("class_b"), F.col("id").alias("q")), "class_b")
+        cells.join(one.select(F.col("class_id").alias("class_a"), F.col("id").alias("p"), F.col("block").alias("block_a")), ["class_a", "block_a"])
+        .join(one.select(F.col("class_id").alias("class_b"), F.col("id").alias("q"), F.col("block").alias("block_b")), ["class_b", "block_b"])
         .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
     )
     return same.unionByName(across)

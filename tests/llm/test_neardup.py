@@ -43,6 +43,18 @@ def test_copies_are_one_class_and_hot_buckets_are_salted(spark, monkeypatch):
     assert found.members.select("class_id").distinct().count() == 26
     assert found.links.count() == 26 * 25 // 2
     assert {r["component"] for r in components(found.links, "class_a", "class_b").collect()} == {"a0"}
+    pairs = [tuple(r) for r in neardup.expand_pairs(found).collect()]
+    assert len(pairs) == len(set(pairs)) == 65 * 64 // 2 and all(a < b for a, b in pairs)
+
+
+def test_latest_version_counts(spark):
+    later = datetime(2024, 2, 1)
+    text = " ".join(f"w{k}" for k in range(80))
+    other = " ".join(f"v{k}" for k in range(80))
+    rows = [("a", None, None, text, T), ("b", None, None, text + " x", T), ("emptied", None, None, text, T), ("emptied", None, None, None, later), ("moved", None, None, text, T), ("moved", None, None, other, later), ("c", None, None, other + " y", None)]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), "paper_id", ["title", "abstract", "text"], "ingested_at", 3, 0.6)
+    assert {r["id"] for r in found.members.collect()} == {"a", "b", "moved", "c"}
+    assert sorted(map(tuple, neardup.expand_pairs(found).collect())) == [("a", "b"), ("c", "moved")]
 
 
 def test_empty(spark):
