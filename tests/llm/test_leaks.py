@@ -49,6 +49,20 @@ def test_blocks_of_items(spark, monkeypatch):
     assert got == {(1, 2), (1, 7)}
 
 
+def test_removal_is_the_same_in_several_passes(spark, monkeypatch):
+    items = [(f"i{k}", " ".join(f"{w}{k}" for w in ("alpha", "beta", "gamma", "delta"))) for k in range(9)] + [(None, "null id here"), ("null", None)]
+    rest = " and some other words beside them that stand nowhere else"
+    docs = [(k % 7, f"Start: {items[k % 9][1]}, {items[(k * 2) % 9][1]}! {rest}") for k in range(20)] + [(None, items[4][1] + rest), (50, items[3][1]), (51, None), (52, ""), (53, "NULL id here" + rest)]
+    c, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, text string")
+    seen = []
+    for limit, together in ((400_000, 5), (5, 2), (5, 1)):
+        monkeypatch.setattr(leaks, "ITEM_WORDS", limit)
+        monkeypatch.setattr(leaks, "TOGETHER", together)
+        spans = sorted(map(str, leaks.leaked_spans(c, i).collect()))
+        seen.append((spans, sorted(map(str, leaks.remove_leaks(c, i).collect()))))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0][1]) == 23
+
+
 def test_empty(spark):
     c = spark.createDataFrame([], "doc_id bigint, text string")
     i = spark.createDataFrame([], "item_id bigint, text string")
