@@ -13,14 +13,14 @@ from folioscope.runtime import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of at least 0.9; a beam of 48 loses none of them, whatever it loses among unrelated vectors."""
-    near = neighbours.most_similar(table(spark, d, "index_vectors"), floor=0.9, ef=48)
+    """Pairs of at least 0.9, searched for in small cells."""
+    near = neighbours.most_similar(table(spark, d, "index_vectors"), floor=0.9, ef=16, cell_rows=1024)
     return near.select(F.col("grp").alias("bundle"), F.least("item", "neighbour").alias("item_a"), F.greatest("item", "neighbour").alias("item_b")).distinct()
 
 
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar of all items, whatever their similarity, for every item whose hash is divisible by 100; all shards are searched."""
-    near = neighbours.most_similar(table(spark, d, "index_vectors"), probes=None, asked=F.pmod(F.xxhash64("item"), F.lit(100)) == 0)
+    near = neighbours.most_similar(table(spark, d, "index_vectors"), asked=F.pmod(F.xxhash64("item"), F.lit(100)) == 0)
     return near.select(F.col("grp").alias("bundle"), F.col("item").alias("item_id"), "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
 
 
