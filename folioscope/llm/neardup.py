@@ -26,47 +26,51 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.words import mix, shingle_hashes, word_hashes, words
+from folioscope.llm.words import WordHashes, mix, shingle_hashes, words
 from folioscope.runtime import cut
 
 SYMBOLS, SEGMENT, INDEXED = 64, 4, 40
 #: Rows of one bucket that may meet in one task; larger buckets are salted into blocks of this size.
 BLOCK = 2000
 
-_SEEDS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SEEDS = (mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def shingle_set(parts: list[str | None], n: int) -> np.ndarray:
+def shingle_set(parts: list[str | None], n: int, hashes: WordHashes | None = None) -> np.ndarray:
     """Sorted distinct shingle hashes of the parts joined by blanks."""
-    return np.unique(shingle_hashes(word_hashes(words(" ".join(p or "" for p in parts))), n))
+    hashes = WordHashes() if hashes is None else hashes
+    return np.unique(shingle_hashes(hashes.of(words(" ".join(p or "" for p in parts))), n))
 
 
 def fingerprint(shingles: np.ndarray) -> np.ndarray:
-    """SYMBOLS minhash values; the set must not be empty."""
-    low = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), 8192):
-        block = shingles[i : i + 8192, None] * (_SEEDS | np.uint64(1)) + (_SEEDS >> np.uint64(7))
-        low = np.minimum(low, (block ^ (block >> np.uint64(32))).min(axis=0))
-    return mix(low)
-
-
-def ball_keys(fp: np.ndarray) -> np.ndarray:
-    """Keys of the radius-1 balls: per segment, the segment with each of its symbols left open."""
-    seg = fp[:INDEXED].reshape(-1, SEGMENT)
+    """SYMBOLS minhash values over the upper halves of the hashes; the set must not be empty."""
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
+    low = np.full(SYMBOLS, np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(x), 4096):
+        block = _SEEDS[:, None] * x[None, i : i + 4096]
+        block ^= block >> np.uint32(15)
+        low = np.minimum(low, block.min(axis=1))
+    return mix(low.astype(np.uint64) + (np.arange(SYMBOLS, dtype=np.uint64) << np.uint64(32)))
+
+
+def ball_keys(fps: np.ndarray) -> np.ndarray:
+    """Keys of the radius-1 balls of each fingerprint: per segment, the segment with each of its symbols left open."""
+    seg = fps[:, :INDEXED].reshape(len(fps), -1, SEGMENT)
+    place = np.arange(seg.shape[1], dtype=np.uint64)
     keys = []
     for gap in range(SEGMENT):
-        h = np.full(len(seg), gap + 1, np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.arange(len(seg), dtype=np.uint64)
+        h = np.broadcast_to(np.uint64(gap + 1) * np.uint64(0xD6E8FEB86659FD93) + place, seg.shape[:2])
         for j in range(SEGMENT):
             if j != gap:
-                h = mix(h ^ seg[:, j])
+                h = mix(h ^ seg[:, :, j])
         keys.append(h)
-    return np.concatenate(keys).view(np.int64)
+    return np.concatenate(keys, 1).view(np.int64)
 
 
-def packed(fp: np.ndarray) -> np.ndarray:
-    """4 bits of each symbol in SYMBOLS / 16 longs."""
-    nib = (fp & np.uint64(15)).reshape(-1, 16)
-    return (nib << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
+def packed(fps: np.ndarray) -> np.ndarray:
+    """4 bits of each symbol in SYMBOLS / 16 longs a row."""
+    nib = (fps & np.uint64(15)).reshape(len(fps), -1, 16)
+    return (nib << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
 def version_of(texts: list[str]) -> Column:
@@ -81,19 +85,20 @@ def signatures(df: DataFrame, key: str, texts: list[str], order: str | None, n:
     names = ["id", "at", "version", "n_shingles", "content", *[f"f{i}" for i in range(SYMBOLS // 16)], "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for b in batches:
-            size, content, packs, balls = [], [], [], []
-            for parts in zip(*[b.column(j).to_pylist() for j in range(3, b.num_columns)]):
-                s = shingle_set(list(parts), n)
-                fp = fingerprint(s) if len(s) else np.zeros(SYMBOLS, np.uint64)
-                size.append(len(s))
+            size, content = np.zeros(b.num_rows, np.int32), []
+            fps = np.zeros((b.num_rows, SYMBOLS), np.uint64)
+            for i, parts in enumerate(zip(*[b.column(j).to_pylist() for j in range(3, b.num_columns)])):
+                s = shingle_set(list(parts), n, hashes)
+                size[i] = len(s)
                 content.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest())
-                packs.append(packed(fp))
-                balls.append(ball_keys(fp) if len(s) else np.empty(0, np.int64))
-            f = np.array(packs, np.int64).reshape(-1, SYMBOLS // 16)
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in balls])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(balls) if balls else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(size, pa.int32()), pa.array(content, pa.string()), *[pa.array(f[:, j]) for j in range(f.shape[1])], lists], names=names)
+                if len(s):
+                    fps[i] = fingerprint(s)
+            f, keys = packed(fps), ball_keys(fps)
+            ends = np.concatenate([[0], np.cumsum((size > 0) * keys.shape[1])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[size > 0].ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(size), pa.array(content, pa.string()), *[pa.array(np.ascontiguousarray(f[:, j])) for j in range(f.shape[1])], lists], names=names)
 
     fs = ", ".join(f"f{i} bigint" for i in range(SYMBOLS // 16))
     return src.mapInArrow(run, f"id string, at timestamp, version bigint, n_shingles int, content string, {fs}, keys array<bigint>")
@@ -104,8 +109,9 @@ def shingle_table(df: DataFrame, key: str, texts: list[str], n: int) -> DataFram
     src = df.select(F.col(key).cast("string").alias("id"), *[F.col(t).cast("string").alias(f"t{i}") for i, t in enumerate(texts)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for b in batches:
-            sets = [shingle_set(list(p), n) for p in zip(*[b.column(j).to_pylist() for j in range(1, b.num_columns)])]
+            sets = [shingle_set(list(p), n, hashes) for p in zip(*[b.column(j).to_pylist() for j in range(1, b.num_columns)])]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "shingles"])

@@ -5,8 +5,6 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 
 WORD = re.compile(r"[^\W_]+")
@@ -17,13 +15,19 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def word_hashes(tokens: list[str]) -> np.ndarray:
-    """Stable 64-bit hashes of the words; every different word of a batch is hashed once."""
-    if not tokens:
-        return np.empty(0, np.uint64)
-    d = pc.dictionary_encode(pa.array(tokens, pa.large_string()))
-    uniq = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in d.dictionary.to_pylist()), np.uint64, len(d.dictionary))
-    return uniq[d.indices.to_numpy()]
+class WordHashes(dict):
+    """Stable 64-bit hashes of words, remembered as long as there are not too many."""
+
+    MOST = 200_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
