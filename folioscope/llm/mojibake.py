@@ -11,10 +11,13 @@ by itself, so the consecutive runs that gain most together are taken, and clean
 capital Cyrillic letters count as one there, since KOI8-R and cp1251 swap them. No chain is certain by its bytes
 there, so Cyrillic records that are garbled so are among those the model is trained on; they are told by being
 rarer than the clean ones. Each candidate is scored by the model in its context against the text as it stands;
-the likeliest is accepted when it gains more than a margin. The margin is validated on held-out clean records:
-their runs are garbled by every chain of one step from UTF-8, and the margin is the gain that all but `MISS` of
-these exceed, though never under `LEAST` nats. Chains of two steps and to legacy charsets are accepted by the same
-margin, which is not validated for them.
+the likeliest is accepted when it gains more than the margin of its kind: one step or two to UTF-8, to a legacy
+charset, between Cyrillic ones. The margins are validated on held-out clean records garbled here: every run
+by every chain of one step, and by one chain of two, and every line by one pair of a wrong and a legacy codec, which
+its hash picks. A margin is the gain that all but `MISS` of the garbled pieces of its kind exceed, but no more than that
+of one step, whose pieces are as short as garbled pieces get (whole lines gain more than the single words that may
+be garbled elsewhere); where stretches of clean records gain as much as they stand, it is raised until no more than
+`FALSE` of them are taken, and it is never under `LEAST` nats.
 
 A record is affected when a chain was accepted, or when it holds U+FFFD or C1 control characters (other
 than NEL, a line end), which no correct decoding of text yields; those may be beyond restoring.
@@ -24,8 +27,9 @@ Null, empty and pure ASCII texts are never affected. Texts are taken whole; repe
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,8 @@ from pyspark.sql import functions as F
 from folioscope.runtime import Shared
 
 UNI, BI = 1 << 16, 1 << 19
-LEAST, MISS = 2.0, 0.001
+LEAST, MISS, FALSE = 2.0, 0.001, 0.0001
+KINDS = ("one", "two", "legacy", "swap")
 #: One clean record in so many is held out of training for the margin.
 HELD_OUT = 20
 
@@ -107,18 +112,18 @@ def as_utf8(run: str, codec: str) -> str | None:
     return "".join(out) if hit else None
 
 
-def run_candidates(run: str) -> list[str]:
-    """Everything the chains of one or two steps make of a run."""
-    found: dict[str, None] = {}
+def run_candidates(run: str) -> dict[str, str]:
+    """Everything the chains of one or two steps make of a run, with their kind."""
+    found: dict[str, str] = {}
     for codec in WRONG:
         one = as_utf8(run, codec)
         if one is not None and one != run:
-            found[one] = None
+            found[one] = "one"
             for again in WRONG:
                 two = as_utf8(one, again)
                 if two is not None and two != one:
-                    found[two] = None
-    return list(found)
+                    found.setdefault(two, "two")
+    return found
 
 
 def stretches(text: str, codec: str = "cp1252") -> list[tuple[int, int]]:
@@ -206,13 +211,13 @@ class Model:
 
 
 class Repairer:
-    def __init__(self, model: Model | None, margin: float):
-        self.model, self.margin = model, margin
-        self.cache: dict[str, list[str]] = {}
+    def __init__(self, model: Model | None, margins: dict[str, float]):
+        self.model, self.margins = model, margins
+        self.cache: dict[str, dict[str, str]] = {}
         self.known: dict[tuple[str, str, str], tuple[float, str]] = {}
         self.swapped: dict[tuple[str, str, str], dict[tuple[str, str], float]] = {}
 
-    def candidates(self, run: str) -> list[str]:
+    def candidates(self, run: str) -> dict[str, str]:
         got = self.cache.get(run)
         if got is None:
             if len(self.cache) > 100_000:
@@ -228,7 +233,7 @@ class Repairer:
         b, a = before[-1:] or "\n", after[:1] or "\n"
         return self.model.score(b + new + a) - self.model.score(b + old + a)
 
-    def best(self, before: str, old: str, options: list[str], after: str) -> tuple[float, str]:
+    def best(self, before: str, old: str, options: Iterable[str], after: str) -> tuple[float, str]:
         return max(((self.gain(before, old, new, after), new) for new in options), default=(0.0, old))
 
     def best_of_run(self, before: str, run: str, after: str) -> tuple[float, str]:
@@ -246,9 +251,9 @@ class Repairer:
 
         def replace(m: re.Match) -> str:
             nonlocal n
-            if self.candidates(m.group()):
+            if options := self.candidates(m.group()):
                 gain, new = self.best_of_run(text[max(0, m.start() - 1) : m.start()], m.group(), text[m.end() : m.end() + 1])
-                if gain > self.margin:
+                if gain > self.margins[options.get(new, "one")]:
                     n += 1
                     return new
             return m.group()
@@ -283,21 +288,24 @@ class Repairer:
                     total += runs[i][2].get(pair, -np.inf)
                     if total > top:
                         top, last = total, i
-                    if total <= max(0.0, top - self.margin):
+                    if total <= max(0.0, top - self.margins["swap"]):
                         break
                 begin, end = runs[at][0], runs[last][1]
-                if top > self.margin and THREE[pair[0]].search(text, begin, end):
+                if top > self.margins["swap"] and THREE[pair[0]].search(text, begin, end):
                     out.append((top, begin, end, text[begin:end].translate(SWAPS[pair])))
                 at = last + 1
         return out
 
+    def best_of_stretch(self, text: str, s: int, e: int, wrong: str) -> tuple[float, str]:
+        return self.best(text[max(0, s - 1) : s], text[s:e], stretch_candidates(text[s:e], wrong, MULTI if wrong in SINGLE else LEGACY), text[e : e + 1])
+
     def legacy(self, text: str) -> list[tuple[float, int, int, str]]:
         """(gain, begin, end, new) of the parts to which a chain to a legacy charset gives more than the margin."""
         out = self.swaps(text)
         for codec in WRONG:
             for s, e in stretches(text, codec):
-                gain, new = self.best(text[max(0, s - 1) : s], text[s:e], stretch_candidates(text[s:e], codec, MULTI if codec in SINGLE else LEGACY), text[e : e + 1])
-                if gain > self.margin:
+                gain, new = self.best_of_stretch(text, s, e, codec)
+                if gain > self.margins["legacy"]:
                     out.append((gain, s, e, new))
         return sorted(out, key=lambda x: (-x[0], *x[1:]))
 
@@ -327,13 +335,43 @@ class Repairer:
         return "".join([*out, fixed]), n + k
 
 
+BACK = {c: {b: ch for ch, b in t.items()} for c, t in TABLES.items()}
+
+
+def read_wrongly(raw: bytes, wrong: str) -> str | None:
+    """The bytes as the wrong codec shows them; None when it can't hold them all."""
+    back = BACK[wrong]
+    return "".join(chr(b) if b < 0x80 else back[b] for b in raw) if all(b < 0x80 or b in back for b in raw) else None
+
+
 def garble(run: str) -> Iterator[str]:
     """The run as every chain of one step from UTF-8 would have garbled it, where the codec can hold all its bytes."""
-    raw = run.encode()
     for codec in WRONG:
-        back = {b: c for c, b in TABLES[codec].items()}
-        if all(b in back for b in raw):
-            yield "".join(back[b] for b in raw)
+        if (g := read_wrongly(run.encode("utf-8", "surrogatepass"), codec)) is not None:
+            yield g
+
+
+def pick(text: str, n: int) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "big") % n
+
+
+def garble_twice(run: str) -> str | None:
+    """The run garbled by one of the chains of two steps."""
+    k = pick(run, len(WRONG) ** 2)
+    once = read_wrongly(run.encode("utf-8", "surrogatepass"), WRONG[k % len(WRONG)])
+    return None if once is None else read_wrongly(once.encode("utf-8", "surrogatepass"), WRONG[k // len(WRONG)])
+
+
+def garble_line(line: str) -> tuple[str, str, str] | None:
+    """(line garbled by one pair of a wrong and a legacy codec, these), where they can hold it."""
+    able = []
+    for right in LEGACY:
+        try:
+            able.append((right, line.encode(right)))
+        except UnicodeEncodeError:
+            pass
+    options = [(g, wrong, right) for right, raw in able for wrong in WRONG if wrong != right and (g := read_wrongly(raw, wrong)) is not None and THREE[wrong].search(g)]
+    return options[pick(line, len(options))] if options else None
 
 
 def train(df: DataFrame, key: str, text: str) -> Model:
@@ -341,7 +379,7 @@ def train(df: DataFrame, key: str, text: str) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uni, bi = np.zeros(UNI, np.int64), np.zeros(BI, np.int64)
-        check = Repairer(None, 0.0)
+        check = Repairer(None, {})
         for b in batches:
             singles, pairs = [], []
             for t in b.column(0).to_pylist():
@@ -371,15 +409,26 @@ def train(df: DataFrame, key: str, text: str) -> Model:
     return Model(uni, bi)
 
 
-def validated_margin(df: DataFrame, key: str, text: str, model: Model) -> float:
-    """The gain that all but MISS of the garbled runs of held-out clean records exceed, at least LEAST."""
+def validated_margins(df: DataFrame, key: str, text: str, model: Model) -> dict[str, float]:
+    """The margin of each kind, from histograms of fixed size of the gains on held-out clean records."""
     shared = Shared(df.sparkSession, model)
     top = 60
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        check = Repairer(shared.get(), 0.0)
-        bins = np.zeros(top + 1, np.int64)
-        done: dict[tuple[str, str, str], list[int]] = {}
+        check = Repairer(shared.get(), dict.fromkeys(KINDS, 0.0))
+        bins = np.zeros((2, len(KINDS), top + 1), np.int64)
+        done: dict[tuple[str, str, str], list[tuple[int, int]]] = {}
+
+        def place(gain: float) -> int:
+            return int(min(top, max(0, gain * 2)))
+
+        def of_run(before: str, clean: str, after: str) -> list[tuple[int, int]]:
+            out = []
+            for kind, g in [*((0, g) for g in garble(clean)), (1, garble_twice(clean))]:
+                if g is not None and clean in (options := check.candidates(g)):
+                    out.append((kind, place(check.best(before, g, options, after)[0])))
+            return out
+
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t.isascii() or check.suspicious(t):
@@ -389,19 +438,39 @@ def validated_margin(df: DataFrame, key: str, text: str, model: Model) -> float:
                     if k not in done:
                         if len(done) > 50_000:
                             done.clear()
-                        done[k] = [int(min(top, max(0, check.best(k[0], g, check.candidates(g), k[2])[0] * 2))) for g in garble(k[1]) if m.group() in check.candidates(g)]
-                    for x in done[k]:
-                        bins[x] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(top + 1)), pa.array(bins)], names=["bin", "n"])
+                        done[k] = of_run(*k)
+                    for kind, x in done[k]:
+                        bins[0, kind, x] += 1
+                for line in set(t.splitlines()):
+                    if line.isascii():
+                        continue
+                    for wrong in WRONG if ANY3.search(line) else ():
+                        for s, e in stretches(line, wrong):
+                            bins[1, 2, place(check.best_of_stretch(line, s, e, wrong)[0])] += 1
+                    if (g := garble_line(line)) is None:
+                        continue
+                    garbled, wrong, right = g
+                    if (wrong, right) in SWAPS:
+                        gains = [x.get((wrong, right), 0.0) for m in RUN.finditer(garbled) if (x := check.swap_gains(garbled[max(0, m.start() - 1) : m.start()], m.group(), garbled[m.end() : m.end() + 1]))]
+                        bins[0, 3, place(sum(gains))] += 1
+                    else:
+                        bins[0, 2, place(max((check.best_of_stretch(garbled, s, e, wrong)[0] for s, e in stretches(garbled, wrong)), default=0.0))] += 1
+        kind, x = (a.ravel() for a in np.meshgrid(np.arange(2 * len(KINDS)), np.arange(top + 1), indexing="ij"))
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(x), pa.array(bins.ravel())], names=["kind", "bin", "n"])
 
     held = df.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(HELD_OUT)) == 0)).select(text)
-    bins = np.zeros(top + 1)
-    for r in held.mapInArrow(run, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect():
-        bins[r["bin"]] = r["n"]
-    if not bins.sum():
-        return LEAST
-    share = np.cumsum(bins) / bins.sum()
-    return max(LEAST, float(np.searchsorted(share, MISS, "right")) / 2)
+    bins = np.zeros((2, len(KINDS), top + 1))
+    for r in held.mapInArrow(run, "kind bigint, bin bigint, n bigint").groupBy("kind", "bin").agg(F.sum("n").alias("n")).collect():
+        bins[r["kind"] // len(KINDS), r["kind"] % len(KINDS), r["bin"]] = r["n"]
+    missed = {k: float(np.searchsorted(np.cumsum(x) / x.sum(), MISS, "right")) / 2 for k, x in zip(KINDS, bins[0]) if x.sum()}
+    strictest = missed.get("one", min(missed.values(), default=LEAST))
+    margins = {}
+    for kind, clean in zip(KINDS, bins[1]):
+        margins[kind] = max(LEAST, min(strictest, missed.get(kind, strictest)))
+        if clean.sum():
+            taken = 1 - np.cumsum(clean) / clean.sum()  # the share beyond each bin
+            margins[kind] = max(margins[kind], (int(np.argmax(taken <= FALSE)) + 1) / 2)
+    return margins
 
 
 def garbled_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -410,7 +479,7 @@ def garbled_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     spark = df.sparkSession
     src = df.select(key, text)
     model = train(src, key, text)
-    shared = Shared(spark, (model, validated_margin(src, key, text, model)))
+    shared = Shared(spark, (model, validated_margins(src, key, text, model)))
     kind = src.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

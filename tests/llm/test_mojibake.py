@@ -60,7 +60,7 @@ def test_candidates_round_trip():
     for run in ("é", "–", "°", "λ", "₂"):
         for g in mb.garble(run):
             assert run in mb.run_candidates(g)
-    assert mb.run_candidates("ÇÃ") == [] and mb.as_utf8("Ã©–", "cp1252") == "é–"
+    assert mb.run_candidates("ÇÃ") == {} and mb.as_utf8("Ã©–", "cp1252") == "é–"
     assert mb.stretches("é" * 5 + "\nabc\nxéééy z\n") == [(0, 5), (10, 17)]
 
 
@@ -82,3 +82,16 @@ def test_two_steps_through_every_ordered_pair():
         for then in mb.WRONG:
             for run in ("Реакция", "°", "é"):
                 assert run in mb.run_candidates(wrong(wrong(run, "utf-8", first), "utf-8", then)), (first, then, run)
+
+
+def test_margins_by_kind(spark):
+    rnd = random.Random(3)
+    clean = [rnd.choice([*EN, *RU, *ZH, *DE]).format(n=rnd.randint(1, 99)) for _ in range(4000)]
+    df = spark.createDataFrame(list(enumerate(clean)), "doc_id bigint, text string")
+    margins = mb.validated_margins(df, "doc_id", "text", mb.train(df, "doc_id", "text"))
+    assert set(margins) == set(mb.KINDS) and all(mb.LEAST <= m <= 31 for m in margins.values())
+    assert mb.validated_margins(df.limit(0), "doc_id", "text", mb.Model(mb.np.zeros(mb.UNI), mb.np.zeros(mb.BI))) == dict.fromkeys(mb.KINDS, mb.LEAST)
+    assert mb.garble_line("Выход 5") is not None and mb.garble_line("plain") is None
+    for run in ("Реакция", "é", "₂"):
+        g = mb.garble_twice(run)
+        assert g is None or mb.run_candidates(g).get(run)
