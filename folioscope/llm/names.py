@@ -3,13 +3,18 @@
 1. Every distinct stored string is parsed into comparable parts: persons into family and given names (titles,
    markers, case and accents aside; reversed order told by which token stands first elsewhere),
    institutions into proper name, kind and town (departments aside, abbreviated kinds written out).
-2. Character trigrams of the family or proper name, weighted by rarity and by root idf, form sparse unit
-   vectors; a distributed sparse join finds all pairs of a block (possible given initial, or kind) whose
-   cosine exceeds `MIN_COSINE`. Only a vector's rarest features are joined on (prefix filtering: what is left
-   out cannot reach the threshold alone), so common trigrams make no pairs.
-3. Pairs are scored: agreement of the family (equal, or one typo), of the given names (equal, nickname, typo,
-   prefix, initial) and of middle initials; institutions of kind and town. Contradictions score nothing.
-4. The scored graph falls into components, each of which is clustered by average linkage, absent
+2. Every distinct parsed name is a sparse unit vector of character trigrams: those of the family or proper name, of
+   the given name or town, each weighted by root idf, and of the initial or the words of the kind, in the shares
+   `SHARES`. A given name stands for the names it is short for as well.
+3. Candidates come from a distributed sparse join over the family or proper name's part of the vectors: all pairs of a
+   block (possible given initial, or kind) whose cosine there reaches `MIN_PART`. Only a vector's rarest
+   features are joined on (prefix filtering: what is left out cannot reach the threshold alone), so common
+   trigrams make no pairs, and what a common one or a common name does make is divided into blocks. Every partner
+   above the threshold is kept, not the n best.
+4. The cosine of the full vectors decides: pairs of at least `MIN_COSINE` are links, and it is their weight. An exact
+   check follows, which only takes away: names that contradict each other (another given name, middle initial,
+   kind or town; a family name more than two edits away) are no link, and two typos at once weigh no more than `WEAK`.
+5. The links fall into components, each of which is clustered by average linkage of the cosines, absent
    pairs counting as 0. A component above `MAX_LINKS` is first merged by rounds of reciprocal nearest
    neighbours, the same clustering done by joins.
 
@@ -19,6 +24,7 @@ any letter are linked to nothing.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -32,9 +38,17 @@ from pyspark.sql import functions as F
 from folioscope.llm.graph import components
 from folioscope.runtime import Shared, cut
 
-MIN_COSINE, MIN_SCORE, MAX_LINKS = 0.35, 0.5, 200_000
-#: Score of pairs that may join a cluster through others but make none themselves.
+MIN_PART, MIN_COSINE, MAX_LINKS = 0.35, 0.45, 200_000
+#: Weight of pairs that may join a cluster through others but make none themselves.
 WEAK = 0.4
+#: Shares of a vector's parts in its squared length: family or proper name, initial or kind, given name or town.
+SHARES = (0.6, 0.15, 0.25)
+#: Slots of the table of document frequencies of the second and third part, a bound for what is broadcast.
+SLOTS = 1 << 16
+#: Names of one bucket that meet in one task; larger buckets are divided into blocks of this size.
+BLOCK = 2000
+#: Edits by which two family or proper names of one entity may differ.
+MOST_EDITS = 2
 
 #: Titles, markers of departments, kinds of institution with their abbreviated words.
 TITLES = {"dr", "prof", "professor", "mr", "mrs", "ms", "phd", "sir", "jr", "sr", "md"}
@@ -156,25 +170,29 @@ def given_match(a: str, b: str, full_of: dict[str, set[str]]) -> float:
     # one typo, also in a full name that the other side abbreviates by a nickname
     if any(min(len(p), len(q)) >= 4 and distance(p, q, 1) <= 1 for p in fx for q in fy):
         return 0.85
-    # two typos of one name are two edits apart; as little as two typos in different parts, see person_score
+    # two typos of one name are two edits apart; as little as two typos in different parts, see person_check
     if min(len(x), len(y)) >= 6 and distance(x, y, 2) == 2:
         return WEAK
     return 0.0
 
 
+#: Agreement of two names that differ as two different typos of one name do.
+TWO_TYPOS = 0.5
+
+
 def family_match(a: str, b: str) -> float:
     if a == b:
         return 1.0
     short = min(len(a), len(b))
-    if short >= 5 and distance(a, b, 1) == 1:
-        return 0.85
+    if short >= 5 and (d := distance(a, b, 2)) <= 2:
+        return 0.85 if d == 1 else TWO_TYPOS if short >= 7 else 0.0
     return 0.0
 
 
-def person_score(a: tuple[str, list[str]], b: tuple[str, list[str]], full_of: dict[str, set[str]]) -> float:
+def person_check(a: tuple[str, list[str]], b: tuple[str, list[str]], full_of: dict[str, set[str]]) -> float:
     f = family_match(a[0], b[0])
     if not a[1] and not b[1]:
-        return f
+        return f if f > TWO_TYPOS else 0.0
     if not f or not a[1] or not b[1]:
         return 0.0
     g = given_match(a[1][0], b[1][0], full_of)
@@ -184,7 +202,7 @@ def person_score(a: tuple[str, list[str]], b: tuple[str, list[str]], full_of: di
         if x[0] != y[0]:
             return 0.0
     # one typo is a typo; two, or a typo and a bare initial, join a cluster but make none
-    return f * g if f == 1 or g > 0.85 else WEAK
+    return f * g if f == 1 or (g > 0.85 and f > TWO_TYPOS) else WEAK
 
 
 def nearest_kind(t: str) -> str | None:
@@ -192,7 +210,7 @@ def nearest_kind(t: str) -> str | None:
         return KIND_WORDS[t]
     if len(t) >= 6:
         for k, v in KIND_WORDS.items():
-            if len(k) >= 6 and distance(t, k, 1) == 1:
+            if len(k) >= 6 and (distance(t, k, 1) == 1 or (len(t) <= len(k) + 4 and t.endswith(k))):
                 return v
     return None
 
@@ -221,14 +239,16 @@ def parse_organisation(name: str) -> tuple[str, str, str] | None:
     return "".join(own), " ".join(kind), "".join(t for a in aside for t in a)
 
 
-def organisation_score(a: tuple[str, str, str], b: tuple[str, str, str]) -> float:
+def organisation_check(a: tuple[str, str, str], b: tuple[str, str, str]) -> float:
     f = family_match(a[0], b[0])
     if not f or a[1] != b[1]:
         return 0.0
     if not a[2] or not b[2]:
-        return 0.8 * f
+        return 0.8 * f if f > TWO_TYPOS else WEAK
     t = family_match(a[2], b[2])
-    return f * t if f * t >= 0.8 else 0.0
+    if f * t >= 0.8:
+        return f * t
+    return WEAK if min(f, t) >= TWO_TYPOS and max(f, t) == 1 else 0.0
 
 
 def whole_name(name: str) -> str | None:
@@ -320,7 +340,18 @@ def parsed_organisations(names: DataFrame) -> DataFrame:
     return names.select("name").mapInArrow(run, "name string, blocks array<string>, part string, rest array<string>")
 
 
-def cosine_pairs(parts: DataFrame, least: float = MIN_COSINE) -> DataFrame:
+def in_blocks(df: DataFrame, key: list[str], by: str) -> tuple[DataFrame, DataFrame]:
+    """df twice, with a column `salt`: once each row in its own block of its bucket, once each row in all of them.
+
+    Joined on the key and salt they meet exactly once, and no task holds more than a block against a bucket.
+    """
+    size = df.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    both = df.join(size, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    one = both.withColumn("salt", F.pmod(F.xxhash64(by), F.col("blocks")).cast("int")).drop("blocks")
+    return one, both.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+
+def cosine_pairs(parts: DataFrame, least: float = MIN_PART) -> DataFrame:
     """(block, a, b, cosine): pairs of different parts of one block whose trigram vectors reach `least`.
 
     parts: distinct (block, part). Prefix filtering: with features in order of falling weight, the
@@ -349,35 +380,111 @@ def cosine_pairs(parts: DataFrame, least: float = MIN_COSINE) -> DataFrame:
         F.when(s["rest"] >= least * least, F.concat(s["keep"], F.array(x["g"]))).otherwise(s["keep"]).alias("keep"),
     ))
     vec = cut(vec.withColumn("keys", left_over["keep"]))
-    keyed = parts.join(vec.select("part", F.explode("keys").alias("g")), "part").select("block", "g", "part")
-    met = keyed.alias("x").join(keyed.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.part") < F.col("y.part"))).select("x.block", F.col("x.part").alias("a"), F.col("y.part").alias("b")).distinct()
-    # edits change lengths by one, so only such pairs can be scored at all
-    met = met.where(F.abs(F.length("a") - F.length("b")) <= 1)
+    x, y = in_blocks(cut(parts.join(vec.select("part", F.explode("keys").alias("g")), "part").select("block", "g", "part")), ["block", "g"], "part")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("block", "g", "salt")]
+    # an edit changes the length by one, so only such pairs can pass the check at all
+    edit = (F.col("x.part") < F.col("y.part")) & (F.abs(F.length("x.part") - F.length("y.part")) <= MOST_EDITS)
+    met = x.alias("x").join(y.alias("y"), same[0] & same[1] & same[2] & edit).select("x.block", F.col("x.part").alias("a"), F.col("y.part").alias("b")).distinct()
     full = met.join(vec.select(F.col("part").alias("a"), F.col("v").alias("va")), "a").join(vec.select(F.col("part").alias("b"), F.map_from_entries("v").alias("vb")), "b")
     dot = F.aggregate("va", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.element_at("vb", x["g"]), F.lit(0.0)))
     return full.select("block", "a", "b", dot.alias("cosine")).where(F.col("cosine") >= least)
 
 
+def features(rest: list[str], persons: bool, full_of: dict[str, set[str]]) -> tuple[set[str], set[str]]:
+    """The features of a name's second and third part: initials or kind, given name or town."""
+    if not rest:
+        return set(), set()
+    if not persons:
+        return {f"k{w}" for w in rest[0].split()}, {f"t{g}" for g in trigrams(rest[1])} if rest[1] else set()
+    x = rest[0].rstrip(".")
+    alike = {x} | full_of.get(x, set())
+    return {f"i{a[0]}" for a in alike}, {f"g{g}" for a in alike for g in trigrams(a)} if len(x) > 1 else set()
+
+
+def slot(feature: str) -> int:
+    return int.from_bytes(hashlib.blake2b(feature.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "big") % SLOTS
+
+
+def frequencies(entities: DataFrame, persons: bool, nicknames: dict[str, set[str]]) -> np.ndarray:
+    """Entities that have a feature, by its slot; a table of fixed size."""
+    shared = Shared(entities.sparkSession, nicknames)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full_of, counts = shared.get(), np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for rest in b.column(0).to_pylist():
+                for fs in features(rest, persons, full_of):
+                    for f in fs:
+                        counts[slot(f)] += 1
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
+
+    sums = entities.select("rest").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS)
+    out[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
+    return out
+
+
+class Vectors:
+    """Cosines of full name vectors, given that of their first part."""
+
+    def __init__(self, counts: np.ndarray, n: int, persons: bool, full_of: dict[str, set[str]]):
+        self.weight = np.sqrt(np.log((n + 1) / np.maximum(counts, 1)) + 0.1)
+        self.persons, self.full_of = persons, full_of
+        self.known: dict[tuple[str, ...], tuple[dict[str, float], dict[str, float], float]] = {}
+
+    def parts(self, rest: tuple[str, ...]) -> tuple[dict[str, float], dict[str, float], float]:
+        """(second part, third part, length of the whole vector), the first part being of length 1 before its share."""
+        got = self.known.get(rest)
+        if got is None:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            out, square = [], SHARES[0]
+            for share, fs in zip(SHARES[1:], features(list(rest), self.persons, self.full_of)):
+                w = {f: float(self.weight[slot(f)]) for f in fs}
+                norm = sum(v * v for v in w.values()) ** 0.5
+                out.append({f: v / norm * share**0.5 for f, v in w.items()})
+                square += share if w else 0.0
+            got = self.known[rest] = (out[0], out[1], square**0.5)
+        return got
+
+    def cosine(self, first: float, a: tuple[str, ...], b: tuple[str, ...]) -> float:
+        x, y = self.parts(a), self.parts(b)
+        dot = SHARES[0] * first + sum(w * y[i][f] for i in (0, 1) for f, w in x[i].items() if f in y[i])
+        return dot / (x[2] * y[2])
+
+
 def scored_links(parsed: DataFrame, persons: bool, nicknames: dict[str, set[str]]) -> DataFrame:
     """(a, b, score) with a < b of distinct entities (part, rest) encoded as keys of `parsed`."""
-    blocked = parsed.select(F.explode("blocks").alias("block"), "part", "key", "rest")
+    spark = parsed.sparkSession
+    vectors = Shared(spark, Vectors(frequencies(parsed, persons, nicknames), parsed.count(), persons, nicknames))
+    blocked = cut(parsed.select(F.explode("blocks").alias("block"), "part", "key", "rest"))
     parts = blocked.select("block", "part").distinct()
-    near = cosine_pairs(parts).select("block", "a", "b")
-    same = parts.select("block", F.col("part").alias("a"), F.col("part").alias("b"))
-    pairs = near.unionByName(same)
+    near = cosine_pairs(parts).select("block", "a", "b", "cosine")
     left = blocked.select("block", F.col("part").alias("a"), F.col("key").alias("ka"), F.col("rest").alias("ra"))
     right = blocked.select("block", F.col("part").alias("b"), F.col("key").alias("kb"), F.col("rest").alias("rb"))
-    both = pairs.join(left, ["block", "a"]).join(right, ["block", "b"]).where((F.col("a") != F.col("b")) | (F.col("ka") < F.col("kb"))).dropDuplicates(["ka", "kb"]).select("a", "b", "ka", "kb", "ra", "rb")
-    shared = Shared(parsed.sparkSession, nicknames)
+    across = near.join(left, ["block", "a"]).join(right, ["block", "b"]).select("a", "b", "ka", "kb", "ra", "rb", "cosine")
+    x, y = in_blocks(blocked, ["block", "part"], "key")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("block", "part", "salt")]
+    within = x.alias("x").join(y.alias("y"), same[0] & same[1] & same[2] & (F.col("x.key") < F.col("y.key"))).select(F.col("x.part").alias("a"), F.col("y.part").alias("b"), F.col("x.key").alias("ka"), F.col("y.key").alias("kb"), F.col("x.rest").alias("ra"), F.col("y.rest").alias("rb"), F.lit(1.0).alias("cosine"))
+    both = across.unionByName(within)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full_of = shared.get()
+        v = vectors.get()
         for batch in batches:
-            a, b, ka, kb, ra, rb = (batch.column(i).to_pylist() for i in range(6))
-            score = [person_score((p, x), (q, y), full_of) if persons else organisation_score((p, *x), (q, *y)) for p, q, x, y in zip(a, b, ra, rb)]
-            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in zip(ka, kb)], pa.string()), pa.array([max(x) for x in zip(ka, kb)], pa.string()), pa.array(score, pa.float64())], names=["a", "b", "score"])
+            rows: list[tuple[str, str, float]] = []
+            for a, b, ka, kb, ra, rb, first in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                cosine = v.cosine(first, tuple(ra), tuple(rb))
+                if cosine < MIN_COSINE:
+                    continue
+                agrees = person_check((a, ra), (b, rb), v.full_of) if persons else organisation_check((a, *ra), (b, *rb))
+                if agrees:
+                    rows.append((min(ka, kb), max(ka, kb), cosine if agrees > WEAK else min(cosine, WEAK)))
+            cols = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["a", "b", "score"])
 
-    return both.mapInArrow(run, "a string, b string, score double").where("score > 0")
+    # a pair may meet in two blocks, always with the same cosine
+    return both.mapInArrow(run, "a string, b string, score double").dropDuplicates(["a", "b"])
 
 
 def average_linkage(ids: list[str], links: list[tuple[str, str, float]], least: float) -> dict[str, str]:
@@ -441,7 +548,7 @@ def reciprocal_rounds(links: DataFrame, least: float) -> DataFrame:
         e = cut(moved(moved(e, "a"), "b").where("a != b").groupBy("a", "b").agg(F.sum("s").alias("s")))
 
 
-def clusters(links: DataFrame, least: float = MIN_SCORE) -> DataFrame:
+def clusters(links: DataFrame, least: float = MIN_COSINE) -> DataFrame:
     """(key, cluster) of all linked keys."""
     links = cut(links)
     comp = components(links, "a", "b")
@@ -456,7 +563,7 @@ def clusters(links: DataFrame, least: float = MIN_SCORE) -> DataFrame:
         return pd.DataFrame({"key": list(got), "cluster": list(got.values())})
 
     # many small components per call: a group is a hash bucket of whole components
-    buckets = max(1, min(4096, int(np.ceil(joined.count() / 20_000))))
+    buckets = max(1, int(np.ceil(joined.count() / 20_000)))
     out = small.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets))).groupBy("bucket").applyInPandas(lambda pdf: local(pdf), "key string, cluster string")
     if large.isEmpty():
         return out
@@ -474,8 +581,9 @@ def link_variants(names: DataFrame, persons: bool, nicknames: dict[str, set[str]
 
 def variant_pairs(entities: DataFrame) -> DataFrame:
     """(entity, name_a, name_b), name_a < name_b in byte order: the spellings of one entity (a result of that form is asked for)."""
-    x, y = entities.alias("x"), entities.alias("y")
-    return x.join(y, (F.col("x.entity") == F.col("y.entity")) & (F.col("x.name") < F.col("y.name"))).select("x.entity", F.col("x.name").alias("name_a"), F.col("y.name").alias("name_b"))
+    x, y = in_blocks(cut(entities), ["entity"], "name")
+    met = (F.col("x.entity") == F.col("y.entity")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.name") < F.col("y.name"))
+    return x.alias("x").join(y.alias("y"), met).select("x.entity", F.col("x.name").alias("name_a"), F.col("y.name").alias("name_b"))
 
 
 def nickname_map(df: DataFrame) -> dict[str, set[str]]:

@@ -93,7 +93,7 @@ def test_cosine_join_finds_what_brute_force_finds(spark):
 
     w = {g: math.sqrt(math.log((len(parts) + 1) / c) + 0.1) for g, c in count.items()}
     norm = {p: math.sqrt(sum(w[g] ** 2 for g in nm.trigrams(p))) for p in parts}
-    want = {(a, b) for a in parts for b in parts if a < b and abs(len(a) - len(b)) <= 1 and sum(w[g] ** 2 for g in set(nm.trigrams(a)) & set(nm.trigrams(b))) / norm[a] / norm[b] >= nm.MIN_COSINE + 1e-9}
+    want = {(a, b) for a in parts for b in parts if a < b and abs(len(a) - len(b)) <= 1 and sum(w[g] ** 2 for g in set(nm.trigrams(a)) & set(nm.trigrams(b))) / norm[a] / norm[b] >= nm.MIN_PART + 1e-9}
     assert want and got >= want
 
 
