@@ -8,11 +8,14 @@ Misrecognised characters: every word has an anagram hash, the sum of its charact
 a string by the one it is mistaken for changes the hash by a fixed difference, so rare words meet
 their frequent variants in an equi-join on hash plus difference, are verified position by position, and the
 variant of highest frequency wins. Edge lines: printed page numbers by their form and surroundings, running
-heads by form (authors, journal with volume, venue with year) or because they repeat the paper's title.
+heads by form (authors, journal with volume, venue with year), because they repeat the paper's title, or because
+they stand at `REPEATED` places of the paper's text, numbers in them aside.
 
-Words of more than one group in `COMMON` are frequent, and taken for errors only when a variant is `FAR` times
-as frequent; that bounds the broadcast lexicon by `COMMON` times the
-average number of different words of a group, whatever the size of the collection.
+How often a variant must be more frequent does not depend on the size of the collection: `RATIO` times for words of
+fewer than `FEW` groups, where chance decides, and `FAR` times for others - a misreading is a small share of
+its word's places, however many there are. Words of more than one group in `COMMON` that have no variant are left
+out of what a scan sends on, which changes no result and bounds the broadcast lexicon by `COMMON` times the average
+number of different words of a group.
 
 Null and empty texts have no noise. Repeated rows count once per kind. Texts are taken whole.
 """
@@ -32,7 +35,7 @@ from folioscope.llm.neardup import SYMBOLS, differing, signatures
 from folioscope.llm.words import WORD
 from folioscope.runtime import Shared, cut
 
-COMMON, RATIO, FAR = 200, 4, 20
+COMMON, RATIO, FAR, FEW, REPEATED = 200, 4, 20, 5, 3
 #: Estimated similarity from which two texts are one piece of evidence.
 ALIKE = 0.6
 
@@ -43,16 +46,15 @@ CONFUSIONS = [
 ]
 
 SIGNS = tuple("-‐‑¬\xad")
-BREAK = re.compile(r"([^\W\d_]+)([-‐‑¬\xad])\s*$")
 BROKEN = re.compile(r"[-‐‑¬\xad][^\S\n]*\n\s*\w+")
 FIRST = re.compile(r"\s*([^\W\d_]+)")
 SUSPENDING = {"and", "or", "to", "und", "oder", "et", "ou", "y", "o", "e"}
 SURE_BREAK = "¬\xad"
 PAIR = re.compile(r"(?=(?<![^\W\d_])([^\W\d_]+[-‐‑][^\W\d_]+))")
-MARKED_PAGE = re.compile(r"[-–—·•]\s*\d{1,4}\s*[-–—·•]|p(?:age|g|\.)?\.?\s*\d{1,4}|\[\s*\d{1,4}\s*\]|\d{1,4}\s*(?:/|of)\s*\d{1,4}", re.I)
-BARE_PAGE = re.compile(r"\d{1,4}")
-BESIDE = (re.compile(r"\d{1,4}\s+(\S.*)"), re.compile(r"(.*\S)\s+\d{1,4}"))
-HEAD = re.compile(r"[^\W\d_][\w’'.-]*(?: [^\W\d_][\w’'.-]*)? (?:et al\.?|and co-?workers)|[^.]{3,50}, Vol\.? \d+(?:, (?:No|Iss)\.? \d+)?|[A-Z][A-Z-]{3,} (?:19|20)\d\d", re.I)
+MARKED_PAGE = re.compile(r"[-–—·•]\s*\d+\s*[-–—·•]|p(?:age|g|\.)?\.?\s*\d+|\[\s*\d+\s*\]|\d+\s*(?:/|of)\s*\d+", re.I)
+BARE_PAGE = re.compile(r"\d+")
+BESIDE = (re.compile(r"\d+\s+(\S.*)"), re.compile(r"(.*\S)\s+\d+"))
+HEAD = re.compile(r"[^\W\d_][\w’'.-]*(?: [^\W\d_][\w’'.-]*)? (?:et al\.?|and co-?workers)|[^.]{3,}, Vol\.? \d+(?:, (?:No|Iss)\.? \d+)?|[A-Z][A-Z-]{3,} (?:19|20)\d\d", re.I)
 VENUE = re.compile(r"[A-Z][A-Z-]{3,} (?:19|20)\d\d")
 CELL = re.compile(r"\S{1,14}")
 
@@ -65,11 +67,28 @@ def running(line: str) -> bool:
     return len(re.findall(r"[^\W\d_]{2,}", line)) >= 3
 
 
+def broken(line: str) -> tuple[str, str] | None:
+    """(first part, sign) of a word that the end of the line breaks."""
+    x = line.rstrip()
+    if x[-1:] not in SIGNS or not x:
+        return None
+    at = len(x) - 1
+    while at and x[at - 1].isalpha():
+        at -= 1
+    return (x[at:-1], x[-1]) if at < len(x) - 1 else None
+
+
+def form(line: str) -> str:
+    """A line as it is compared with others: lower case, the number at either end aside."""
+    return re.sub(r"^\d+ | \d+$", "", line.lower())
+
+
 class Lines:
     """The lines of a text with the role of each: '' text, 'p' page number, 'h' running head,
     'b' both, '?' possibly the paper's title repeated."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, longest: int = 1 << 30):
+        self.longest = longest
         self.raw = re.split(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]", text)
         self.plain = [" ".join(x.split()) for x in self.raw]
         self.role = [self._form(i) for i in range(len(self.raw))]
@@ -89,9 +108,9 @@ class Lines:
             return "p"
         if BARE_PAGE.fullmatch(x):
             return "#"
-        if len(x) <= 80 and is_head(x):
+        if is_head(x):
             return "h"
-        if len(x) <= 80 and (x[0].isdigit() or x[-1].isdigit()) and any(is_head(m.group(1)) for b in BESIDE if (m := b.fullmatch(x))):
+        if (x[0].isdigit() or x[-1].isdigit()) and any(is_head(m.group(1)) for b in BESIDE if (m := b.fullmatch(x))):
             return "b"
         return ""
 
@@ -109,22 +128,20 @@ class Lines:
 
     def _may_be_title(self, i: int) -> bool:
         x = self.plain[i]
-        return 8 <= len(x) <= 90 and " " in x and x[-1] not in ".;" and (x[0].isupper() or x[0].isdigit() or x[0] in "([")
+        return 8 <= len(x) <= self.longest and " " in x and x[-1] not in ".;" and (x[0].isupper() or x[0].isdigit() or x[0] in "([")
 
     def breaks(self) -> Iterator[tuple[int, int, str, str, str]]:
         """(line, continuing line, first part, sign, second part) of words broken over a line end."""
         for i, x in enumerate(self.raw):
             if self.role[i] in ("p", "h", "b"):
                 continue
-            x = x.rstrip()
-            m = BREAK.search(x[-80:]) if x[-1:] in SIGNS else None
-            if not m:
+            if not (half := broken(x)):
                 continue
             j = i + 1
-            while j < len(self.raw) and j <= i + 8 and (not self.plain[j] or self.role[j] in ("p", "h", "b", "?")) and not (self.plain[j] and self.plain[j][0].islower()):
+            while j < len(self.raw) and (not self.plain[j] or self.role[j] in ("p", "h", "b", "?")) and not (self.plain[j] and self.plain[j][0].islower()):
                 j += 1
             if j < len(self.raw) and (n := FIRST.match(self.raw[j])) and n.group(1)[0].islower():
-                yield i, j, m.group(1), m.group(2), n.group(1)
+                yield i, j, half[0], half[1], n.group(1)
 
     def body(self) -> str:
         """The text without edge lines, broken words joined, for counting and finding words."""
@@ -133,7 +150,7 @@ class Lines:
         for i, x in enumerate(self.raw):
             if self.role[i] in ("p", "h", "b"):
                 continue
-            out.append(BREAK.sub(r"\1", x) if i in cutting else x + "\n")
+            out.append(x.rstrip()[:-1] if i in cutting else x + "\n")
             # what stands between the two halves is left out of the joined word by dropping it
         return "".join(out)
 
@@ -206,7 +223,7 @@ def anagram(word: Column) -> Column:
     return F.aggregate(F.split(word, ""), F.lit(0).cast("bigint"), lambda a, c: a + F.when(c == "", F.lit(0).cast("bigint")).otherwise(F.pmod(F.xxhash64(c), F.lit(1 << 40))))
 
 
-def corrections(evidence: DataFrame, frequent_from: int, asked: DataFrame | None = None) -> DataFrame:
+def corrections(evidence: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """(word, variant, df, variant_df): words with their best confusable variant of sufficient frequency, of all words or of those asked for."""
     spark = evidence.sparkSession
     long = (F.length("word") >= 4) & ~F.col("word").contains("-")
@@ -224,7 +241,7 @@ def corrections(evidence: DataFrame, frequent_from: int, asked: DataFrame | None
         & (F.concat(F.substring(F.col("word"), F.lit(1), i - 1), F.col("right"), F.substring(F.col("word"), i + F.length("misread"), F.length("word"))) == F.col("variant")),
     )
     # a digit among letters is an error for certain; a real word needs the stronger evidence
-    enough = F.when(F.col("df") >= frequent_from, F.col("variant_df") >= FAR * F.col("df")).when(has_digit, F.col("variant_df") > F.col("df")).otherwise(F.col("variant_df") >= RATIO * F.col("df"))
+    enough = F.when(F.col("df") >= FEW, F.col("variant_df") >= FAR * F.col("df")).when(has_digit, F.col("variant_df") > F.col("df")).otherwise(F.col("variant_df") >= RATIO * F.col("df"))
     return met.where(enough & at).groupBy("word").agg(F.max_by(F.struct("variant", "variant_df"), F.struct("variant_df", "variant")).alias("v"), F.first("df").alias("df")).select("word", "v.variant", "df", "v.variant_df")
 
 
@@ -245,29 +262,35 @@ class Scan:
         spark = records.sparkSession
         groups = cut(text_groups(papers))
         self.evidence = cut(word_evidence(papers, groups))
-        self.frequent_from = max(5, groups.select("grp").distinct().count() // COMMON)
+        frequent_from = max(FEW, groups.select("grp").distinct().count() // COMMON)
         known = self.evidence.where(~F.col("word").contains("-"))
-        known_fixes = cut(corrections(known, self.frequent_from))
-        frequent = known.where(F.col("df") >= self.frequent_from).join(known_fixes, "word", "left_anti")
+        known_fixes = cut(corrections(known))
+        frequent = known.where(F.col("df") >= frequent_from).join(known_fixes, "word", "left_anti")
         lexicon = {r["word"] for r in frequent.select("word").toLocalIterator()}
-        shared = Shared(spark, lexicon)
+        # no line longer than every title, with a number at either end, repeats one
+        longest = 2 * (papers.agg(F.max(F.length("title"))).first()[0] or 0) + 40
+        shared = Shared(spark, (lexicon, longest))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            common = shared.get()
+            common, longest = shared.get()
             for b in batches:
-                cols: list[list] = [[] for _ in range(8)]
+                cols: list[list] = [[] for _ in range(9)]
                 for table, key, paper, t in zip(*[b.column(i).to_pylist() for i in range(4)]):
                     if not t:
                         continue
                     page = head = sure = False
                     titles: list[str] = []
+                    again: list[str] = []
                     pairs: set[tuple[str, str]] = set()
                     body = t
                     if "\n" in t or "\r" in t or "\x0c" in t:
-                        x = Lines(t)
+                        x = Lines(t, longest)
                         page = any(r in ("p", "b") for r in x.role)
                         head = any(r in ("h", "b") for r in x.role)
                         titles = sorted({p for p, r in zip(x.plain, x.role) if r == "?"})
+                        if table == "papers":
+                            seen = Counter(form(p) for p, r in zip(x.plain, x.role) if r == "?")
+                            again = sorted(f for f, n in seen.items() if n >= REPEATED and len(f) >= 8 and " " in f)
                         for _, _, w1, sign, w2 in x.breaks():
                             if sign in SURE_BREAK:
                                 sure = True
@@ -276,35 +299,35 @@ class Scan:
                         body = x.body()
                     rare = [w for w in set(WORD.findall(body.lower())) - common if len(w) >= 4 and not w.isdigit()]
                     if page or head or sure or titles or pairs or rare:
-                        for c, v in zip(cols, (table, key, paper, page, head, sure, titles, [[*p] for p in sorted(pairs)])):
+                        for c, v in zip(cols, (table, key, paper, page, head, sure, titles, again, [[*p] for p in sorted(pairs)])):
                             c.append(v)
                         words_of.append(sorted(rare))
-                kinds = [pa.string()] * 3 + [pa.bool_()] * 3 + [pa.list_(pa.string()), pa.list_(pa.list_(pa.string()))]
+                kinds = [pa.string()] * 3 + [pa.bool_()] * 3 + [pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(cols, kinds)], pa.array(words_of, pa.list_(pa.string()))], names=NAMES)
                 words_of.clear()
 
         words_of: list[list[str]] = []
-        schema = "record_table string, record_id string, paper_id string, page boolean, head boolean, sure boolean, titles array<string>, pairs array<array<string>>, rare array<string>"
+        schema = "record_table string, record_id string, paper_id string, page boolean, head boolean, sure boolean, titles array<string>, again array<string>, pairs array<array<string>>, rare array<string>"
         self.first = cut(records.mapInArrow(run, schema))
         self.papers = papers
         key = ["record_table", "record_id"]
         rare = self.first.select(*key, F.explode("rare").alias("word"))
         # words that occur in no paper's text are as rare as can be
         seen = rare.select("word").distinct().join(self.evidence, "word", "left").select("word", F.coalesce("df", F.lit(0)).alias("df"))
-        self.fixes = known_fixes.unionByName(cut(corrections(known, self.frequent_from, seen.where("df = 0"))))
+        self.fixes = known_fixes.unionByName(cut(corrections(known, seen.where("df = 0"))))
         self.chars = rare.join(self.fixes.select("word", "variant"), "word")
         breaks = self.first.select(*key, F.explode("pairs").alias("p")).select(*key, F.col("p")[0].alias("w1"), F.col("p")[1].alias("w2"))
         self.breaks = breaks.join(break_verdicts(breaks, self.evidence), ["w1", "w2"])
         lines = self.first.select(*key, "paper_id", F.explode("titles").alias("line"))
         titles = papers.where(F.col("title").isNotNull()).select("paper_id", F.trim(F.regexp_replace(F.lower("title"), r"(?U)\s+", " ")).alias("title")).distinct()
         low = F.lower("line")
-        forms = F.array(low, F.regexp_replace(low, r"^\d{1,4} ", ""), F.regexp_replace(low, r" \d{1,4}$", ""))
+        forms = F.array(low, F.regexp_replace(low, r"^\d+ ", ""), F.regexp_replace(low, r" \d+$", ""))
         fits = lambda f: (F.length(f) >= 8) & f.contains(" ") & (F.col("title").startswith(f) | F.col("title").contains(F.concat(F.lit(" "), f)))
-        self.titles = (
-            lines.join(titles, "paper_id")
-            .where(F.exists(forms, fits))
-            .select(*key, "line", (~F.exists(F.slice(forms, 1, 1), fits)).alias("numbered"))
-        )
+        bare = F.regexp_replace(low, r"^\d+ | \d+$", "")
+        titled = lines.join(titles, "paper_id").where(F.exists(forms, fits)).select(*key, "line", (~F.exists(F.slice(forms, 1, 1), fits)).alias("numbered"))
+        repeats = self.first.where("record_table = 'papers'").select("paper_id", F.explode("again").alias("form")).distinct()
+        repeated = lines.withColumn("form", bare).join(repeats, ["paper_id", "form"]).select(*key, "line", (low != F.col("form")).alias("numbered"))
+        self.titles = titled.unionByName(repeated)
 
     def kinds(self) -> DataFrame:
         """(record_table, record_id, kind), distinct."""
@@ -344,7 +367,7 @@ class Scan:
         return src.mapInArrow(run, "record_table string, record_id string, text string").dropDuplicates(["record_table", "record_id"])
 
 
-NAMES = ["record_table", "record_id", "paper_id", "page", "head", "sure", "titles", "pairs", "rare"]
+NAMES = ["record_table", "record_id", "paper_id", "page", "head", "sure", "titles", "again", "pairs", "rare"]
 
 
 def like_case(old: str, new: str) -> str:
@@ -369,7 +392,7 @@ def repair(text: str, fixes: dict[str, str], joins: set[str], heads: set[str]) -
                 end = "\n\n"
             continue
         if i in glue:
-            p = BREAK.sub(r"\1", p) if i in joined else BREAK.sub(r"\1-", p)
+            p = p[:-1] if i in joined else p[:-1] + "-"
         out.append(end if out else "")
         out.append(p)
         nxt = next((k for k in range(i + 1, len(x.plain)) if keep[k]), None)
