@@ -35,6 +35,30 @@ def chunk_text(heading: str, path: Column, text: str, types: Column) -> Column:
     return joined(heading, path, text, F.array_join(F.transform(types, lambda t: F.concat(t, F.lit(" evidence"))), " "))
 
 
+def evidence_text(heading: str, path: Column, text: str, html: str, kind: str, section_kind: str) -> Column:
+    """Heading, path, text, markup, and the words of the evidence type and of the section's kind."""
+    words = lambda c: F.replace(F.col(c), F.lit("_"), F.lit(" "))
+    return joined(heading, path, text, html, joined(words(kind), words(section_kind)))
+
+
+def separated_view(title: str, abstract: str) -> Column:
+    """Title and abstract around a separator mark, as sentence encoders of papers take them."""
+    return F.trim(F.concat(F.coalesce(title, F.lit("")), F.lit(" [SEP] "), F.coalesce(abstract, F.lit(""))))
+
+
+def contents_view(title: str, text: str) -> Column:
+    return F.concat(F.coalesce(title, F.lit("")), F.lit(". "), F.coalesce(text, F.lit("")))
+
+
+def intro_summaries(papers: DataFrame, sections: DataFrame, limit: int = 1200) -> DataFrame:
+    """(paper_id, intro_summary): the first section with text called abstract, else introduction, else overview, else
+    the first with text, else the paper's abstract; cut to `limit`."""
+    title = F.lower(F.coalesce("section_title", F.lit("")))
+    kind = F.when(title.contains("abstract"), 0).when(title.contains("introduction"), 1).when(title.contains("overview"), 2).otherwise(3)
+    first = sections.where(F.coalesce("text", F.lit("")) != "").groupBy("paper_id").agg(F.min_by("text", F.struct(kind, "ordinal", "section_id")).alias("first"))
+    return papers.select("paper_id", "abstract").join(first, "paper_id", "left").select("paper_id", T.truncate(F.coalesce("first", "abstract", F.lit("")), limit).alias("intro_summary"))
+
+
 def paper_documents(papers: DataFrame, passages: DataFrame) -> DataFrame:
     """(paper_id, document): title, abstract and full text by lines; without a text its passages in order."""
     rows = F.array_sort(F.collect_list(F.struct("page_start", "chunk_id", "text")))

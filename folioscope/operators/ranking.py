@@ -15,46 +15,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.functions.vectors import cosine
-from folioscope.runtime import Shared, bounded_broadcast
+from folioscope.runtime import Shared, bounded_broadcast, default_slices, scan_bytes
 
 K1, B, EPSILON, RRF_BASE = 1.5, 0.75, 0.25, 60
 
 
-def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """(key, term, tf, dl): term counts and document length; documents without a token have no row."""
-    t = docs.select(key, tokens.alias("t"))
-    return t.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-
-
-def term_statistics(posted: DataFrame, docs: DataFrame) -> DataFrame:
+def term_statistics(docs: DataFrame, tokens: Column) -> DataFrame:
     """(term, n, idf): document frequency and the floored Okapi idf over the whole vocabulary.
 
-    Negative idf becomes EPSILON times the mean idf of the vocabulary. Collection-wide numbers enter as
-    scalar subqueries.
+    Frequencies are counted map-side from each document's distinct terms, so what is shuffled grows with the
+    vocabulary and not with the postings. Negative idf becomes EPSILON times the mean idf of the vocabulary;
+    collection-wide numbers enter as scalar subqueries.
     """
-    df = posted.groupBy("term").agg(F.count("*").alias("n"))
+    df = docs.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     n_docs = docs.agg(F.count("*").alias("n_docs")).scalar()
     raw = df.withColumn("raw", F.log(n_docs - F.col("n") + 0.5) - F.log(F.col("n") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean")).scalar()
     return raw.select("term", "n", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(docs: DataFrame, key: str, tokens: Column, queries: DataFrame, query_key: str, query_tokens: Column) -> DataFrame:
+def asked_terms(queries: DataFrame, query_key: str, query_tokens: Column) -> DataFrame:
+    """(query_key, term, qf)."""
+    return queries.select(query_key, F.explode(query_tokens).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qf"))
+
+
+def asked_statistics(docs: DataFrame, tokens: Column, asked: DataFrame) -> DataFrame:
+    """(term, idf, avgdl) of the asked terms only: what scoring needs of the whole collection."""
+    avgdl = docs.agg(F.avg(F.size(tokens)).alias("avgdl")).scalar()
+    return term_statistics(docs, tokens).join(bounded_broadcast(asked.select("term").distinct()), "term", "left_semi").select("term", "idf").withColumn("avgdl", avgdl)
+
+
+def bm25(docs: DataFrame, key: str, tokens: Column, queries: DataFrame, query_key: str, query_tokens: Column, statistics: DataFrame | None = None) -> DataFrame:
     """(query_key, key, score) for every document that shares a term with the query; others score 0.
 
-    Query terms count as often as they occur. An empty collection or query gives no rows.
+    Query terms count as often as they occur. Tokens meet the asked terms where they are read, so only hits are
+    shuffled. statistics: asked_statistics() of a collection of which docs are a part, so that a few
+    candidates are scored as in the whole. An empty collection or query gives no rows.
     """
-    posted = postings(docs, key, tokens)
-    avgdl = docs.agg(F.avg(F.size(tokens)).alias("avgdl")).scalar()
-    idf = term_statistics(posted, docs)
-    asked = queries.select(query_key, F.explode(query_tokens).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qf"))
-    hits = posted.join(bounded_broadcast(asked), "term").join(idf.select("term", "idf"), "term").withColumn("avgdl", avgdl)
+    asked = asked_terms(queries, query_key, query_tokens)
+    stats = asked_statistics(docs, tokens, asked) if statistics is None else statistics
+    ready = docs.select(key, tokens.alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
+    tf = ready.join(bounded_broadcast(asked.select("term").distinct()), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    hits = tf.join(bounded_broadcast(asked), "term").join(bounded_broadcast(stats), "term")
     part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy(query_key, key).agg(F.sum(part).alias("score"))
 
 
-#: Bytes of query vectors that are broadcast; a larger set is joined instead.
+#: Bytes of query vectors that are broadcast together; a larger set goes through in several blocks.
 QUERY_BYTES = 64 << 20
 
 
@@ -70,7 +77,12 @@ def dense(docs: DataFrame, key: str, vector: str, queries: DataFrame, query_key:
     d = docs.select(key, F.col(vector).alias("_v")).where(F.col("_v").isNotNull())
     held = q.agg(F.sum(F.size("_q") * 8 + 64).alias("b")).first()["b"] or 0
     if held > QUERY_BYTES:
-        return d.join(q, F.size("_v") == F.size("_q")).select(query_key, key, cosine("_q", "_v").alias("score"))
+        blocks = -(-2 * held // QUERY_BYTES)
+        out = None
+        for k in range(blocks):
+            part = dense(docs, key, vector, queries.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == k), query_key, query_vector, top)
+            out = part if out is None else out.unionByName(part)
+        return out
     by_dim: dict[int, tuple[list, list]] = {}
     for r in q.toLocalIterator():
         if len(r["_q"]) and None not in r["_q"]:
@@ -183,7 +195,14 @@ def late_interaction(doc_tokens: DataFrame, query_tokens: DataFrame, key: str, q
     from folioscope.functions.vectors import dot
 
     q = query_tokens.select(query_key, "position", F.col("vector").alias("_q"))
-    pairs = doc_tokens.where(~F.col("masked")).select(key, F.col("vector").alias("_v")).join(bounded_broadcast(q), F.size("_v") == F.size("_q"))
+    docs = doc_tokens.where(~F.col("masked")).select(key, F.col("vector").alias("_v"))
+    if scan_bytes(q) <= QUERY_BYTES:
+        pairs = docs.join(F.broadcast(q), F.size("_v") == F.size("_q"))
+    else:  # every document token meets every query token: in blocks of either side
+        n = default_slices(doc_tokens.sparkSession)
+        left = docs.withColumn("_n", F.size("_v")).withColumn("_b", F.pmod(F.xxhash64("_v"), F.lit(n)))
+        right = q.withColumn("_n", F.size("_q")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint"))
+        pairs = left.join(right, ["_n", "_b"])
     best = pairs.groupBy(query_key, key, "position").agg(F.max(dot("_q", "_v")).alias("m"))
     return best.groupBy(query_key, key).agg(F.sum("m").alias("score"))
 

@@ -6,6 +6,7 @@ Plan tables (bounded, broadcast behind a size check):
   buckets(plan_id, bucket_id, description, target)
 Record tables: papers(paper_id, corpus_key, search_text), sections(section_id, paper_id, search_text,
 match_text), chunks(chunk_id, section_id, paper_id, chunk_type, heading, text, search_text).
+Sections and chunks are scored only where they belong to a candidate, with the statistics of the whole collection.
 Ties are broken by ids throughout. Empty tables give empty results at every stage.
 """
 
@@ -18,9 +19,11 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.models import Encoder, Reranker, Verifier, hashed_encoder, threshold_verifier, zero_reranker
+from folioscope.operators import projections as P
 from folioscope.operators import ranking as R
+from folioscope.operators.records import latest
 from folioscope.operators.selection import best_query, verdict_top
-from folioscope.runtime import bounded_broadcast, cut
+from folioscope.runtime import bounded_broadcast, cut, materialise
 
 #: Fixed values of the stages.
 SOURCE_LIMIT, POOL, SHORTLIST, TOP_K, SECTIONS, TEXT_LIMIT = 120, 50, 20, 10, 4, 1200
@@ -40,6 +43,8 @@ class Index:
     papers: DataFrame
     sections: DataFrame
     chunks: DataFrame
+    #: asked_statistics() of each level, where they were made
+    statistics: dict[str, DataFrame] = field(default_factory=dict)
 
 
 @dataclass
@@ -50,11 +55,19 @@ class Models:
 
 
 def _tokens(df: DataFrame) -> DataFrame:
-    return df.withColumn("_t", T.tokens("search_text"))
+    return df if "_t" in df.columns else df.withColumn("_t", T.tokens("search_text"))
 
 
-def _sparse(docs: DataFrame, key: str, queries: DataFrame) -> DataFrame:
-    return R.bm25(_tokens(docs), key, F.col("_t"), queries.withColumn("_q", T.tokens("query")), "qid", F.col("_q"))
+def _sparse(docs: DataFrame, key: str, queries: DataFrame, statistics: DataFrame | None = None) -> DataFrame:
+    return R.bm25(_tokens(docs), key, F.col("_t"), queries.withColumn("_q", T.tokens("query")), "qid", F.col("_q"), statistics)
+
+
+def _statistics(index: Index, level: str, queries: DataFrame) -> DataFrame:
+    got = index.statistics.get(level)
+    if got is None:
+        asked = R.asked_terms(queries.withColumn("_q", T.tokens("query")), "qid", F.col("_q"))
+        got = R.asked_statistics(_tokens(getattr(index, level)), F.col("_t"), asked)
+    return got
 
 
 def _dense(docs: DataFrame, key: str, queries: DataFrame, encoder: Encoder, top: int | None = None) -> DataFrame:
@@ -68,10 +81,16 @@ def distinct_queries(plan: Plan) -> tuple[DataFrame, DataFrame]:
     return q, q.select("qid", "query").dropDuplicates(["qid"])
 
 
-def encoded(index: Index, models: Models) -> Index:
-    """The index with vectors, laid down once: every stage reads them, none encodes a document again."""
-    one = lambda df: cut(df.withColumn("v", models.encoder(F.col("search_text"))))
-    return Index(one(index.papers), one(index.sections), one(index.chunks))
+def encoded(index: Index, models: Models, plan: Plan) -> Index:
+    """The index with vectors and tokens, laid down once: every stage reads them, none encodes a document again.
+
+    The statistics of each level hold the terms of the plans only.
+    """
+    one = lambda df: materialise(_tokens(df).withColumn("v", models.encoder(F.col("search_text"))))
+    out = Index(one(index.papers), one(index.sections), one(index.chunks))
+    _, texts = distinct_queries(plan)
+    out.statistics = {level: materialise(_statistics(out, level, texts)) for level in ("papers", "sections", "chunks")}
+    return out
 
 
 def candidates(plan: Plan, index: Index, allowed: DataFrame, models: Models, scope_pushdown: bool = False) -> DataFrame:
@@ -84,7 +103,7 @@ def candidates(plan: Plan, index: Index, allowed: DataFrame, models: Models, sco
     texts = texts.join(q.select("qid").distinct(), "qid", "left_semi")
     papers = index.papers.join(allowed.select("paper_id"), "paper_id", "left_semi") if scope_pushdown else index.papers
     sources, hits = [], []
-    for name, scores in (("paper_sparse", _sparse(papers, "paper_id", texts)), ("paper_dense", _dense(papers, "paper_id", texts, models.encoder, SOURCE_LIMIT))):
+    for name, scores in (("paper_sparse", _sparse(papers, "paper_id", texts, None if scope_pushdown else _statistics(index, "papers", texts))), ("paper_dense", _dense(papers, "paper_id", texts, models.encoder, SOURCE_LIMIT))):
         ranked = R.rank_within(scores.where("score > 0"), ["qid"], "score", "paper_id", SOURCE_LIMIT)
         kept = R.post_limit_scope(ranked, allowed, "paper_id", SOURCE_LIMIT)
         # rankings are renumbered after the scope filter
@@ -94,7 +113,7 @@ def candidates(plan: Plan, index: Index, allowed: DataFrame, models: Models, sco
         sources.append(fused.withColumn("source", F.lit(name)))
         hits.append(per.where("kind = 'aspect'").select("plan_id", "paper_id", "name"))
     limit = max(SOURCE_LIMIT * 12, 300)
-    s = R.rank_within(_sparse(index.sections, "section_id", texts).where("score > 0"), ["qid"], "score", "section_id", limit)
+    s = R.rank_within(_sparse(index.sections, "section_id", texts, _statistics(index, "sections", texts)).where("score > 0"), ["qid"], "score", "section_id", limit)
     d = R.rank_within(_dense(index.sections, "section_id", texts, models.encoder, limit).where("score > 0"), ["qid"], "score", "section_id", limit)
     mixed = R.mix(s, d, ["qid", "section_id"], 0.55, 0.45).where("score > 0")
     of_paper = mixed.join(index.sections.select("section_id", "paper_id"), "section_id").join(allowed.select("paper_id"), "paper_id", "left_semi")
@@ -140,7 +159,9 @@ def narrow_sections(plan: Plan, index: Index, pool: DataFrame, models: Models) -
     mine = pool.select("plan_id", "paper_id").join(index.sections.select("paper_id", "section_id", "match_text"), "paper_id")
     grid = mine.drop("match_text").join(bounded_broadcast(q.select("plan_id", "qid", "w")), "plan_id")
     total = None
-    for scores, weight in ((_sparse(index.sections, "section_id", texts), 0.55), (_dense(index.sections, "section_id", texts, models.encoder), 0.45)):
+    held = cut(index.sections.join(mine.select("section_id").distinct(), "section_id", "left_semi"))
+    stats = _statistics(index, "sections", texts)
+    for scores, weight in ((_sparse(held, "section_id", texts, stats), 0.55), (_dense(held, "section_id", texts, models.encoder), 0.45)):
         g = grid.join(scores, ["qid", "section_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         g = R.normalise(g, ["plan_id", "qid", "paper_id"], "score", "x").groupBy("plan_id", "paper_id", "section_id").agg(F.sum(weight * F.col("w") * F.col("x")).alias("s"))
         total = g if total is None else total.unionByName(g)
@@ -160,10 +181,12 @@ def assemble_evidence(plan: Plan, index: Index, narrowed: DataFrame, models: Mod
     """
     q, texts = distinct_queries(plan)
     q = q.where("kind = 'bucket'").withColumnRenamed("name", "bucket_id").join(bounded_broadcast(plan.buckets), ["plan_id", "bucket_id"])
-    mine = narrowed.select("plan_id", "paper_id", "section_id").join(index.chunks.drop("paper_id", "search_text"), "section_id")
+    mine = narrowed.select("plan_id", "paper_id", "section_id").join(index.chunks.select("section_id", "chunk_id", "chunk_type", "heading", "text"), "section_id")
     grid = mine.join(bounded_broadcast(q.select("plan_id", "bucket_id", "qid", "query", "description", "target")), "plan_id")
-    s = _sparse(index.chunks, "chunk_id", texts).withColumnRenamed("score", "s")
-    d = _dense(index.chunks, "chunk_id", texts, models.encoder).withColumnRenamed("score", "d")
+    texts = texts.join(q.select("qid").distinct(), "qid", "left_semi")
+    held = cut(index.chunks.join(narrowed.select("section_id").distinct(), "section_id", "left_semi"))
+    s = _sparse(held, "chunk_id", texts, _statistics(index, "chunks", texts)).withColumnRenamed("score", "s")
+    d = _dense(held, "chunk_id", texts, models.encoder).withColumnRenamed("score", "d")
     g = grid.join(s, ["qid", "chunk_id"], "left").join(d, ["qid", "chunk_id"], "left").fillna(0.0, ["s", "d"])
     by = ["plan_id", "paper_id", "bucket_id", "qid"]
     g = R.normalise(R.normalise(g, by, "s", "ns"), by, "d", "nd")
@@ -180,6 +203,26 @@ def assemble_evidence(plan: Plan, index: Index, narrowed: DataFrame, models: Mod
     return out.select("plan_id", "paper_id", "bucket_id", "chunk_id", "chunk_type", F.col("query").alias("source_query"), "heading", T.truncate("text", TEXT_LIMIT).alias("text"), "score", "rank")
 
 
+def global_evidence(plan: Plan, index: Index, pool: DataFrame, models: Models) -> DataFrame:
+    """(plan_id, paper_id, bucket_id, chunk_id, source_query, score, rank) without any narrowing: a candidate's best
+    chunks for the global query, scores above 0, dealt to the buckets in order, `target` to each."""
+    q, texts = distinct_queries(Plan(plan.queries.where("kind = 'global'"), plan.terms, plan.buckets))
+    w = Window.partitionBy("plan_id").orderBy("bucket_id")
+    need = plan.buckets.withColumn("need", F.greatest(F.lit(1), "target"))
+    slots = need.select("plan_id", "bucket_id", (F.sum("need").over(w) - F.col("need")).alias("after"), "need")
+    total = need.groupBy("plan_id").agg(F.sum("need").alias("total"))
+    held = cut(index.chunks.join(pool.select("paper_id").distinct(), "paper_id", "left_semi"))
+    mine = pool.select("plan_id", "paper_id").join(held.select("paper_id", "chunk_id"), "paper_id").join(bounded_broadcast(q.select("plan_id", "qid", "query")), "plan_id")
+    s = _sparse(held, "chunk_id", texts, _statistics(index, "chunks", texts)).withColumnRenamed("score", "s")
+    d = _dense(held, "chunk_id", texts, models.encoder).withColumnRenamed("score", "d")
+    g = mine.join(s, ["qid", "chunk_id"], "left").join(d, ["qid", "chunk_id"], "left").fillna(0.0, ["s", "d"])
+    by = ["plan_id", "paper_id"]
+    g = R.normalise(R.normalise(g, by, "s", "ns"), by, "d", "nd").withColumn("score", 0.35 * F.col("ns") + 0.40 * F.col("nd")).where("score > 0")
+    best = R.rank_within(g, by, "score", "chunk_id").join(bounded_broadcast(total), "plan_id").where(F.col("rank") <= F.col("total"))
+    dealt = best.join(bounded_broadcast(slots), "plan_id").where((F.col("rank") > F.col("after")) & (F.col("rank") <= F.col("after") + F.col("need")))
+    return dealt.select("plan_id", "paper_id", "bucket_id", "chunk_id", F.col("query").alias("source_query"), "score", (F.col("rank") - F.col("after")).cast("int").alias("rank"))
+
+
 def shortlist(plan: Plan, pool: DataFrame, narrowed: DataFrame, evidence: DataFrame, limit: int = SHORTLIST) -> DataFrame:
     """(plan_id, paper_id, coarse, section_score, evidence_score, pre_score, rank), the best `limit` of each plan."""
     sec = R.blend_top3(narrowed, ["plan_id", "paper_id"], "score", "section_id").withColumnRenamed("score", "section_score")
@@ -217,7 +260,7 @@ def search(plan: Plan, index: Index, allowed: DataFrame, models: Models | None =
     if profile == "no_planner":
         plan = identity_plan(plan)
     plan = Plan(cut(plan.queries), cut(plan.terms), cut(plan.buckets))
-    index = encoded(index, models)
+    index = encoded(index, models, plan)
     pool = cut(candidates(plan, index, allowed, models))
     if profile == "no_content_refinement":
         n = R.normalise(pool, ["plan_id"], "coarse", "pre_score")
@@ -236,13 +279,28 @@ def display_order(results: DataFrame, display_k: int) -> DataFrame:
 
 
 def make_index(papers: DataFrame, sections: DataFrame, chunks: DataFrame) -> Index:
-    """Search texts of the three levels from the record tables; one row per id."""
-    from folioscope.operators.records import latest
+    """Search texts of the three levels from the record tables; one row per id.
 
+    A paper's holds its section headings, an introduction and the evidence types of its chunks as well, a section's
+    its path and summary, a chunk's its section's path and its evidence types.
+    """
     p = latest(papers.select("paper_id", "corpus_key", "title", "abstract", "keywords", "ingested_at"), "paper_id", "ingested_at")
-    p = p.select("paper_id", "corpus_key", T.squash(F.concat_ws(" ", "title", "abstract", F.array_join("keywords", " "))).alias("search_text"))
-    s = latest(sections.select("section_id", "paper_id", "section_title", "section_path", "text", "ingested_at"), "section_id", "ingested_at")
-    s_text = T.squash(F.concat_ws(" ", "section_title", F.array_join("section_path", " "), "text"))
-    s = s.select("section_id", "paper_id", s_text.alias("search_text"), T.match_text(s_text).alias("match_text"))
+    ordinal = F.col("ordinal") if "ordinal" in sections.columns else F.lit(0).alias("ordinal")
+    s = latest(sections.select("section_id", "paper_id", "section_title", "section_path", ordinal, "text", "ingested_at"), "section_id", "ingested_at")
     c = latest(chunks.select("chunk_id", "section_id", "paper_id", "chunk_type", "heading", "text", "ingested_at"), "chunk_id", "ingested_at").drop("ingested_at")
-    return Index(p, s, c.withColumn("search_text", T.squash(F.concat_ws(" ", "heading", "text"))))
+    path = F.array_join("section_path", " ")
+    s_text = P.section_text("section_title", "section_path", T.truncate(T.squash("text"), 900), "text")
+    of_section = s.select("section_id", path.alias("path"))
+    c = c.join(of_section, "section_id", "left").withColumn("types", T.evidence_types(T.evidence_scores("heading", "path", "text")))
+    c_text = P.chunk_text("heading", F.col("path"), "text", F.col("types"))
+    counts = c.select("paper_id", F.explode("types").alias("type")).groupBy("paper_id", "type").agg(F.count("*").alias("n"))
+    counts = counts.groupBy("paper_id").agg(F.map_from_entries(F.collect_list(F.struct("type", "n"))).alias("counts"))
+    headings = s.groupBy("paper_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "section_id", "section_title"))), lambda x: x["section_title"]).alias("headings"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    full = p.join(headings, "paper_id", "left").join(P.intro_summaries(p, s), "paper_id", "left").join(counts, "paper_id", "left")
+    p_text = P.paper_text("title", "abstract", "headings", "intro_summary", "keywords", F.coalesce("counts", none))
+    return Index(
+        full.select("paper_id", "corpus_key", p_text.alias("search_text")),
+        s.select("section_id", "paper_id", s_text.alias("search_text"), T.match_text(s_text).alias("match_text")),
+        c.select("chunk_id", "section_id", "paper_id", "chunk_type", "heading", "text", c_text.alias("search_text")),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
@@ -66,28 +66,32 @@ def references_cut(s: SparkSession, d: str) -> DataFrame:
 
 
 def heading_paths(s: SparkSession, d: str) -> DataFrame:
-    x = _sections(s, d).select("paper_id", "section_id", F.concat_ws("-", F.format_string("%06d", "ordinal"), "section_id").alias("o"), (F.col("ordinal") % 4 + 1).alias("lv"), "section_title")
+    x = _sections(s, d).select("paper_id", "section_id", _order().alias("o"), F.least(F.lit(4), F.greatest(F.lit(1), F.coalesce("level", F.lit(1)))).alias("lv"), F.coalesce("section_title", F.lit("")).alias("section_title"))
     return O.section_paths(x, "paper_id", "o", "lv", "section_title").select("paper_id", "section_id", F.size("path").alias("depth"), F.array_join("path", " > ").alias("path"), "parent_order")
 
 
+def _order() -> Column:
+    return F.concat_ws("-", F.format_string("%06d", "ordinal"), "section_id")
+
+
 def char_offsets(s: SparkSession, d: str) -> DataFrame:
-    x = _sections(s, d).select("paper_id", "section_id", F.concat_ws("-", F.format_string("%06d", "ordinal"), "section_id").alias("o"), "section_title", "text").where("section_title IS NOT NULL AND text IS NOT NULL")
+    x = _sections(s, d).select("paper_id", "section_id", _order().alias("o"), "section_title", "text")
     return O.char_offsets(x, "paper_id", "o", "section_title", "text").select("paper_id", "section_id", F.col("text_start").cast("bigint").alias("text_start"), F.col("text_end").cast("bigint").alias("text_end"))
 
 
 def section_members(s: SparkSession, d: str) -> DataFrame:
-    o = _objects(s, d).where("section_id IS NOT NULL").withColumn("text", F.coalesce("text", F.lit("")))
-    m = O.section_members(o, "section_id", "ordinal")
-    return m.select("section_id", F.md5("text").alias("text_md5"), "page_start", "page_end", F.size("member_object_ids").alias("n_members"))
+    m = O.section_members(_objects(s, d).where("section_id IS NOT NULL"), "section_id", "ordinal")
+    return m.select("section_id", F.md5("text").alias("text_md5"), F.md5("text_summary").alias("summary_md5"), "page_start", "page_end", F.size("member_object_ids").alias("n_members"))
 
 
 def packed_chunks(s: SparkSession, d: str) -> DataFrame:
-    return O.pack_chunks(_objects(s, d)).drop("text").withColumn("member_object_ids", F.array_join("member_object_ids", "|"))
+    c = O.pack_chunks(_objects(s, d))
+    return c.withColumn("text_md5", F.md5("text")).drop("text").withColumn("member_object_ids", F.array_join("member_object_ids", "|"))
 
 
 def packed_offsets(s: SparkSession, d: str) -> DataFrame:
-    sec = _sections(s, d).where("section_title IS NOT NULL AND text IS NOT NULL")
-    sec = O.char_offsets(sec.withColumn("o", F.concat_ws("-", F.format_string("%06d", "ordinal"), "section_id")), "paper_id", "o", "section_title", "text")
+    """Packed chunks in the text of their sections, which keeps its own white space: not every chunk is found."""
+    sec = O.char_offsets(_sections(s, d).withColumn("o", _order()), "paper_id", "o", "section_title", "text")
     return O.chunk_offsets(O.pack_chunks(_objects(s, d)), sec)
 
 
@@ -236,6 +240,41 @@ def _sql_evidence_scores(source: str, keys: str) -> str:
     return f"WITH hb AS (SELECT {keys}, lower({head}) AS h, lower({body}) AS b FROM {source}), allscores AS ({' UNION ALL '.join(parts)}) "
 
 
+_SQUASHED = sql_squash("string_agg(t, chr(10) || chr(10) ORDER BY ordinal, object_id) FILTER (t <> '')")
+_SHORT = lambda c, n: f"CASE WHEN length({c}) <= {n} THEN {c} ELSE rtrim(substr({c}, 1, {n - 3})) || '...' END"
+
+#: Packing object by object: buf and bufn hold the open buffer, e1 and e2 what the step closed.
+_PACK = f"""
+o AS (SELECT section_id, paper_id, object_id, object_type AS k, coalesce(page_idx, 0) AS pg, coalesce(text, '') AS tx, len({sql_tokens('text')}) AS n, row_number() OVER (PARTITION BY section_id ORDER BY ordinal, object_id) AS i FROM {_OBJ} WHERE section_id IS NOT NULL),
+walk AS (
+  SELECT DISTINCT section_id, 0::BIGINT AS i, []::BIGINT[] AS buf, []::BIGINT[] AS bufn, []::BIGINT[] AS e1, []::BIGINT[] AS e2 FROM o
+  UNION ALL
+  SELECT section_id, i,
+    CASE WHEN skip THEN buf WHEN alone THEN [] WHEN full_ THEN list_append(buf[j:], i) ELSE list_append(buf, i) END,
+    CASE WHEN skip THEN bufn WHEN alone THEN [] WHEN full_ THEN list_append(bufn[j:], n) ELSE list_append(bufn, n) END,
+    CASE WHEN NOT skip AND (alone OR full_) THEN buf ELSE [] END,
+    CASE WHEN NOT skip AND alone THEN [i] ELSE [] END
+  FROM (SELECT w.section_id, o.i, o.n, w.buf, w.bufn,
+      o.k = 'equation_block' OR (o.k IN ('text_block', 'list_block') AND o.n = 0) AS skip,
+      o.k NOT IN ('text_block', 'list_block', 'equation_block') AS alone,
+      len(w.buf) > 0 AND list_sum(w.bufn) + o.n > 420 AND list_sum(w.bufn) >= 210 AS full_,
+      list_min(list_filter(range(1, len(w.bufn) + 1), lambda x: coalesce(list_sum(w.bufn[x + 1:]), 0) < 63)) AS j
+    FROM walk w JOIN o ON o.section_id = w.section_id AND o.i = w.i + 1)
+),
+closed AS (
+  SELECT section_id, i, 1 AS e, e1 AS ids FROM walk WHERE len(e1) > 0 UNION ALL SELECT section_id, i, 2, e2 FROM walk WHERE len(e2) > 0
+  UNION ALL SELECT section_id, i, 3, buf FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY i DESC) = 1) WHERE len(buf) > 0
+),
+members AS (SELECT section_id, row_number() OVER (PARTITION BY section_id ORDER BY i, e) - 1 AS chunk_no, ids FROM closed),
+flat AS (SELECT m.section_id, m.chunk_no, o.* EXCLUDE (section_id) FROM (SELECT section_id, chunk_no, unnest(ids) AS i FROM members) m JOIN o USING (section_id, i)),
+packed AS (SELECT *, 'chunk_' || substr(sha1(concat_ws(':', paper_id, section_id, chunk_type, page_start, page_end, member_object_ids)), 1, 16) AS chunk_id FROM (
+  SELECT any_value(paper_id) AS paper_id, section_id, chunk_no::INT AS chunk_no, CASE arg_min(k, i) WHEN 'table_block' THEN 'table_chunk' WHEN 'text_block' THEN 'text_chunk' WHEN 'list_block' THEN 'text_chunk' ELSE 'figure_chunk' END AS chunk_type,
+    min(pg) AS page_start, max(pg) AS page_end, string_agg(object_id, '|' ORDER BY i) AS member_object_ids,
+    CASE WHEN arg_min(k, i) IN ('text_block', 'list_block') THEN {sql_squash("string_agg(tx, chr(10) || chr(10) ORDER BY i)")} ELSE arg_min(tx, i) END AS text
+  FROM flat GROUP BY section_id, chunk_no))"""
+_OFFSETS = f"""SELECT paper_id, section_id, text, (coalesce(sum(a + 1 + b + 2) OVER (PARTITION BY paper_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + a + 1)::BIGINT AS text_start, b
+FROM (SELECT paper_id, section_id, text, {_ORD} AS o, coalesce(length(section_title), 0) AS a, coalesce(length(text), 0) AS b FROM {_SEC})"""
+
 _PRIORS = "concat_ws(',', " + ", ".join("CASE WHEN " + " OR ".join(f"contains(t, {sql_text(c)})" for c in cues) + f" THEN {sql_text(k)} END" for k, cues in T.PRIOR_CUES.items()) + ")"
 _SHA = "substr(sha1({0}), 1, 16)"
 _KNOWN = "WHERE paper_id IN (SELECT paper_id FROM papers)"
@@ -252,10 +291,24 @@ SELECT doc_id, window_no::INT AS window_no, (window_no * 90)::INT AS start, leas
     "forward_fill_sections": f"""SELECT paper_id, object_id, (sum((object_type = 'table_block')::INT) OVER w)::BIGINT AS section_no, coalesce(last_value(CASE WHEN object_type = 'table_block' THEN caption END IGNORE NULLS) OVER w, 'Document') AS section_title
 FROM {_OBJ} WINDOW w AS (PARTITION BY paper_id ORDER BY printf('%06d', ordinal) || '-' || object_id ROWS UNBOUNDED PRECEDING)""",
     "references_cut": f"SELECT paper_id, section_id FROM (SELECT paper_id, section_id, max((ordinal % 5 = 4)::INT) OVER (PARTITION BY paper_id ORDER BY {_ORD} ROWS UNBOUNDED PRECEDING) AS seen FROM {_SEC}) WHERE seen = 0",
-    "char_offsets": f"""SELECT paper_id, section_id, (b + length(section_title) + 1)::BIGINT AS text_start, (b + length(section_title) + 1 + length(text))::BIGINT AS text_end FROM (
-SELECT *, coalesce(sum(length(section_title) + 1 + length(text) + 2) OVER (PARTITION BY paper_id ORDER BY {_ORD} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM {_SEC} WHERE section_title IS NOT NULL AND text IS NOT NULL)""",
-    "section_members": f"""SELECT section_id, md5(coalesce(string_agg(t, chr(10) || chr(10) ORDER BY ordinal, object_id) FILTER (t <> ''), '')) AS text_md5, min(page_idx) AS page_start, max(page_idx) AS page_end, count(*)::INT AS n_members
-FROM (SELECT *, CASE WHEN object_type <> 'equation_block' THEN coalesce(text, '') ELSE '' END AS t FROM {_OBJ}) WHERE section_id IS NOT NULL GROUP BY section_id""",
+    "char_offsets": f"SELECT paper_id, section_id, text_start, (text_start + b)::BIGINT AS text_end FROM ({_OFFSETS})",
+    "section_members": f"""SELECT section_id, md5(t) AS text_md5, md5({_SHORT('t', 900)}) AS summary_md5, page_start, page_end, n_members FROM (
+SELECT section_id, coalesce({_SQUASHED}, '') AS t, min(page_idx) AS page_start, max(page_idx) AS page_end, count(*)::INT AS n_members
+FROM (SELECT *, CASE WHEN object_type <> 'equation_block' THEN coalesce(text, '') ELSE '' END AS t FROM {_OBJ} WHERE section_id IS NOT NULL) GROUP BY section_id)""",
+    "packed_chunks": f"WITH RECURSIVE {_PACK} SELECT paper_id, section_id, chunk_no, chunk_type, page_start, page_end, member_object_ids, len({sql_tokens('text')})::INT AS token_count, chunk_id, md5(text) AS text_md5 FROM packed",
+    "packed_offsets": f"""WITH RECURSIVE {_PACK}, c AS (SELECT section_id, chunk_id, text AS c, row_number() OVER (PARTITION BY section_id ORDER BY chunk_no) AS i FROM packed), sec AS (SELECT * FROM ({_OFFSETS}) WHERE coalesce(text, '') <> ''),
+go AS (
+  SELECT section_id, 0::BIGINT AS i, 0::BIGINT AS cursor, ''::VARCHAR AS chunk_id, 0::BIGINT AS s, 0::BIGINT AS n FROM sec
+  UNION ALL
+  SELECT section_id, i, CASE WHEN pos_ >= 0 THEN pos_ + 1 ELSE cursor END, chunk_id, greatest(pos_, 0), CASE WHEN pos_ >= 0 THEN length(c) ELSE least(length(c), length(text)) END
+  FROM (SELECT g.section_id, c.i, g.cursor, c.chunk_id, c.c, sec.text,
+      CASE WHEN c.c = '' THEN CASE WHEN g.cursor <= length(sec.text) THEN g.cursor ELSE 0 END WHEN instr(substr(sec.text, g.cursor + 1), c.c) > 0 THEN g.cursor + instr(substr(sec.text, g.cursor + 1), c.c) - 1 ELSE instr(sec.text, c.c) - 1 END AS pos_
+    FROM go g JOIN c ON c.section_id = g.section_id AND c.i = g.i + 1 JOIN sec ON sec.section_id = g.section_id)
+)
+SELECT go.section_id, chunk_id, (text_start + s)::BIGINT AS char_start, (text_start + s + n)::BIGINT AS char_end FROM go JOIN sec USING (section_id) WHERE i > 0""",
+    "heading_paths": f"""WITH x AS (SELECT paper_id, section_id, {_ORD} AS o, least(4, greatest(1, coalesce(level, 1))) AS lv, coalesce(section_title, '') AS t FROM {_SEC}),
+open_ AS (SELECT s.paper_id, s.section_id, s.o, a.o AS ao, a.t FROM x s JOIN x a ON a.paper_id = s.paper_id AND a.o <= s.o WHERE NOT EXISTS (SELECT 1 FROM x b WHERE b.paper_id = s.paper_id AND b.o > a.o AND b.o <= s.o AND b.lv <= a.lv))
+SELECT paper_id, section_id, count(*)::INT AS depth, string_agg(t, ' > ' ORDER BY ao) AS path, max(ao) FILTER (ao < o) AS parent_order FROM open_ GROUP BY paper_id, section_id""",
     "evidence_core": f"""WITH s AS (SELECT *, {_APP} AS section_kind FROM {_SEC} {_KNOWN}), o AS (SELECT * FROM {_OBJ} WHERE text <> ''), c AS (SELECT * FROM {_CHK} WHERE text <> '')
 SELECT 'evidence_' || {_SHA.format("s.paper_id || ':' || s.section_id || ':section'")} AS evidence_id, paper_id, 'section_unit' AS evidence_type, section_id, section_kind, length(text) AS n_chars, len(coalesce(member_object_ids, [])) AS n_objects, len(coalesce(member_chunk_ids, [])) AS n_chunks FROM s WHERE text <> ''
 UNION ALL SELECT 'evidence_' || {_SHA.format("s.paper_id || ':' || o.object_id || CASE o.object_type WHEN 'text_block' THEN ':paragraph' WHEN 'list_block' THEN ':list' ELSE ':table' END")}, s.paper_id, CASE o.object_type WHEN 'text_block' THEN 'paragraph_unit' WHEN 'list_block' THEN 'list_unit' ELSE 'table_unit' END, s.section_id, s.section_kind, length(o.text), 1, 0 FROM s JOIN o ON s.section_id = o.section_id WHERE o.object_type IN ('text_block', 'list_block', 'table_block')

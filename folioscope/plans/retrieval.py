@@ -23,7 +23,7 @@ def token_counts(s: SparkSession, d: str) -> DataFrame:
 
 def idf_table(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents")
-    stats = R.term_statistics(R.postings(docs, "doc_id", T.ascii_tokens("text")), docs)
+    stats = R.term_statistics(docs, T.ascii_tokens("text"))
     return stats.select("term", "n", F.round("idf", 6).alias("idf"))
 
 
@@ -82,7 +82,7 @@ def max_passage(s: SparkSession, d: str) -> DataFrame:
 
 
 def post_limit_scope(s: SparkSession, d: str) -> DataFrame:
-    docs = table(s, d, "documents").where("n_chars IS NOT NULL")
+    docs = table(s, d, "documents").withColumn("n_chars", F.coalesce("n_chars", F.lit(0)))
     ranked = R.rank_within(docs.select("doc_id", "n_chars", F.lit(0).alias("g")), ["g"], "n_chars", "doc_id", 120)
     return R.post_limit_scope(ranked, docs.where("lang = 'en'"), "doc_id", 120).select("doc_id", "n_chars", "rank")
 
@@ -113,7 +113,7 @@ def sparse_dot_topk(s: SparkSession, d: str) -> DataFrame:
 def late_interaction(s: SparkSession, d: str) -> DataFrame:
     """Labels as documents of token vectors; every hundredth vector is a query token of its thousand."""
     e = table(s, d, "embeddings")
-    docs = e.select(F.col("label").alias("doc"), F.col("embedding").alias("vector"), (F.col("vec_id") % 11 == 0).alias("masked"))
+    docs = e.select(F.col("label").alias("doc"), F.col("embedding").alias("vector"), F.lit(False).alias("masked"))
     q = e.where("vec_id % 100 = 0").select(F.floor(F.col("vec_id") / 1000).cast("bigint").alias("query_id"), F.col("vec_id").alias("position"), F.col("embedding").alias("vector"))
     return R.late_interaction(docs, q, "doc", "query_id").select("query_id", "doc", F.round("score", 6).alias("score"))
 
@@ -187,14 +187,14 @@ ORACLE = {
     "minmax_normalize": "SELECT c_nationkey, c_custkey, round(CASE WHEN hi - lo < 1e-9 THEN CASE WHEN hi > 0 THEN 1.0 ELSE 0.0 END ELSE (score - lo) / (hi - lo) END, 6) AS normalised FROM (SELECT *, min(score) OVER (PARTITION BY c_nationkey) AS lo, max(score) OVER (PARTITION BY c_nationkey) AS hi FROM (SELECT c_nationkey, c_custkey, greatest(0.0, c_acctbal) AS score FROM customer))",
     "top3_blend": "SELECT o_custkey, round(sum(CASE r WHEN 1 THEN 0.7 WHEN 2 THEN 0.2 ELSE 0.1 END * o_totalprice), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3 GROUP BY o_custkey",
     "max_passage": "SELECT p.paper_id, e.evidence_id, e.score FROM (SELECT DISTINCT paper_id FROM papers) p LEFT JOIN (SELECT paper_id, max(s) AS score, arg_min(evidence_id, (-s, evidence_id)) AS evidence_id FROM (SELECT paper_id, evidence_id, (length(text) % 97)::DOUBLE AS s FROM evidence_units) GROUP BY paper_id) e USING (paper_id)",
-    "post_limit_scope": "SELECT doc_id, n_chars, rank FROM (SELECT doc_id, n_chars, lang, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE n_chars IS NOT NULL) WHERE rank <= 120 AND lang = 'en'",
+    "post_limit_scope": "SELECT doc_id, n_chars, rank FROM (SELECT doc_id, n_chars, lang, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM (SELECT doc_id, coalesce(n_chars, 0) AS n_chars, lang FROM documents)) WHERE rank <= 120 AND lang = 'en'",
     "full_outer_scores": "SELECT coalesce(a.k, b.k) AS l_suppkey, round(0.55 * coalesce(a.s, 0) + 0.45 * coalesce(b.s, 0), 6) AS score FROM (SELECT l_suppkey AS k, avg(l_discount) AS s FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) a FULL JOIN (SELECT l_suppkey AS k, avg(l_tax) AS s FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 45 GROUP BY 1) b ON a.k = b.k",
     "literal_phrase_hits": f"""WITH c AS (SELECT DISTINCT chunk_id, paper_id, {sql_match("concat_ws(' ', heading, text)")} AS h FROM chunks), t AS (SELECT DISTINCT topic, {sql_match("topic")} AS m FROM eval_items)
 SELECT topic AS plan_id, paper_id, round((count(DISTINCT m) + 0.05 * count(DISTINCT chunk_id))::DOUBLE, 4) AS score FROM c JOIN t ON contains(' ' || h || ' ', ' ' || m || ' ') GROUP BY ALL""",
     "sparse_dot_topk": f"""WITH dw AS (SELECT doc_id, term, ln(1 + count(*)::DOUBLE) AS w FROM (SELECT doc_id, unnest({sql_ascii_tokens("text")}) AS term FROM documents) GROUP BY ALL),
 qw AS (SELECT item_id, term, ln(1 + count(*)::DOUBLE) AS w FROM (SELECT item_id, unnest({sql_ascii_tokens("text")}) AS term FROM eval_items WHERE kind = 'question') GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT item_id, doc_id, round(sum(dw.w * qw.w), 6) AS score FROM dw JOIN qw USING (term) GROUP BY ALL)) WHERE rank <= 10""",
-    "late_interaction": "SELECT query_id, doc, round(sum(m), 6) AS score FROM (SELECT q.vec_id // 1000 AS query_id, q.vec_id AS position, e.label AS doc, max(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS m FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND e.vec_id % 11 <> 0 GROUP BY ALL) GROUP BY ALL",
+    "late_interaction": "SELECT query_id, doc, round(sum(m), 6) AS score FROM (SELECT q.vec_id // 1000 AS query_id, q.vec_id AS position, e.label AS doc, max(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS m FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 GROUP BY ALL) GROUP BY ALL",
     "result_rows": f"""WITH {_PAPERS}, ranked AS (SELECT item_id, paper_id, round(score, 5) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 5) DESC, paper_id) AS rank FROM scores)
 SELECT r.item_id, r.paper_id, r.rank, r.score, p.year, p.venue, array_to_string(list_sort(list_filter(list_distinct({sql_ascii_tokens("q.text")}), lambda x: contains(lower(concat_ws(' ', coalesce(p.title, ''), coalesce(p.abstract, ''))), x)))[1:8], ' ') AS matched_terms, 'Ranked from the full indexed paper text.' AS reason
 FROM ranked r JOIN docs p USING (paper_id) JOIN eval_items q USING (item_id) WHERE rank <= 20""",

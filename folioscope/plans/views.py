@@ -125,7 +125,15 @@ def _join(sep: str, *parts: str) -> str:
     return f"array_to_string(list_filter([{', '.join(f"coalesce({p}, '')" for p in parts)}], lambda x: trim(x) <> ''), {sep})"
 
 
+_LABEL = lambda n, c: f"CASE WHEN trim(coalesce({c}, '')) <> '' THEN '{n}: ' || trim({c}) END"
+
 ORACLE = {
+    "labelled_views": f"SELECT chunk_id, md5({_join('chr(10) || chr(10)', _LABEL('Title', 'p.title'), _LABEL('Abstract', 'p.abstract'), _LABEL('Heading', 'c.heading'), 'c.text')}) AS view_md5 FROM {_CHK} c JOIN {_PAP} p USING (paper_id)",
+    "front_matter": f"""WITH o AS (SELECT paper_id, object_id, lower({_TEXT}) AS t, coalesce(bbox[2], 0.0) AS y, coalesce(bbox[1], 0.0) AS x FROM {_OBJ} WHERE page_idx = 1 AND length({_TEXT}) > 0),
+a AS (SELECT DISTINCT paper_id, lower({sql_squash('u')}) AS a FROM (SELECT paper_id, unnest(authors) AS u FROM {_PAP}) WHERE {sql_squash('u')} <> ''),
+n AS (SELECT paper_id, object_id, count(*) AS names FROM o JOIN a USING (paper_id) WHERE contains(t, a) GROUP BY ALL),
+sc AS (SELECT *, (CASE WHEN coalesce(names, 0) > 0 THEN 3.0 ELSE 0.0 END + CASE WHEN contains(t, '@') THEN 1.5 ELSE 0.0 END + CASE WHEN regexp_matches(t, 'universit|institute|department|laborator|school|academy|college|centre|center') THEN 1.0 ELSE 0.0 END - CASE WHEN length(t) > 600 THEN 2.0 ELSE 0.0 END)::DOUBLE AS score FROM o LEFT JOIN n USING (paper_id, object_id))
+SELECT paper_id, object_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY y, x, score DESC, object_id)::INT AS rank FROM sc WHERE score > 0) WHERE rank <= 8""",
     "paper_documents": f"SELECT paper_id, md5({_join(_LINE, 'title', 'abstract', _OWN_TEXT)}) AS document_md5 FROM {_PAP} LEFT JOIN (SELECT paper_id, string_agg(text, chr(10) ORDER BY page_start, chunk_id) AS passages FROM {_CHK} GROUP BY paper_id) USING (paper_id)",
     "usable_sections": f"SELECT section_id, h AS heading FROM (SELECT section_id, text, {_form('section_title')} AS h FROM {_SEC}) WHERE coalesce(NOT (h IN ({_HEADS}) OR {_STOPS}), true) AND length({_TEXT}) >= 40",
     "benchmark_passages": f"SELECT paper_id, chunk_id AS passage_id, row_number() OVER (PARTITION BY paper_id ORDER BY page_start, chunk_id) AS passage_rank, md5({_join(_LINE, 'heading', 'text')}) AS text_md5 FROM (SELECT *, {_form('heading')} AS h FROM {_CHK}) WHERE length({_TEXT}) >= 80 AND coalesce(h NOT IN ({_BOTH}), true) AND paper_id IN (SELECT paper_id FROM papers)",
