@@ -321,3 +321,70 @@ def page_title(html: Column | str) -> Column:
         F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1),
     ]
     return F.coalesce(*[F.nullif(html_text(f), F.lit("")) for f in found])
+
+
+#: Openings of captions and images, lines and paragraphs that are publishers' matter, furniture in headings.
+CAPTION_LINE = r"^(?:Figure|FIGURE|Table|TABLE|Scheme|SCHEME)\s+S?\d+\b"
+IMAGE_LINE = r"^!\[\]\("
+DROPPED_LINES = ("Cite This:", "Complete contact information is available at:")
+METADATA_LINE = r"(?i)^(?:Received:|Accepted:|Published online:|Published:|Available online:|DOI:|https?://|www\.)"
+METADATA_OPENINGS = ("©", "Open Access")
+NOISE_PHRASES = ("conference on", "association for computational linguistics", "proceedings of", "arxiv:", "copyright")
+#: Stages of a search in order.
+STAGES = ("loading_index", "planning_query", "candidate_generation", "section_narrowing", "evidence_assembly", "final_verifier", "saving_trace")
+
+
+def joined_lines(c: Column | str) -> Column:
+    """Soft hyphens out, words broken by a hyphen and white space rejoined, single blanks."""
+    c = F.col(c) if isinstance(c, str) else c
+    return squash(F.regexp_replace(F.replace(c, F.lit("­"), F.lit("")), r"([A-Za-z])-\s+([A-Za-z])", "$1$2"))
+
+
+def body_line(c: Column | str) -> Column:
+    """A line of running text; empty for images, captions and pointers to the publisher."""
+    x = F.trim(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
+    out = x.rlike(IMAGE_LINE) | x.rlike(CAPTION_LINE)
+    for opening in DROPPED_LINES:
+        out = out | x.startswith(opening)
+    return F.when(out, "").otherwise(joined_lines(x))
+
+
+def is_metadata_paragraph(c: Column | str) -> Column:
+    """Dates, addresses, licences, and lists of names with numbers and no sentence; an empty text is one."""
+    x = joined_lines(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
+    words = F.size(no_blanks(F.split(x, " ")))
+    commas = F.length(x) - F.length(F.replace(x, F.lit(","), F.lit("")))
+    digit, stop = x.rlike("[0-9]"), x.contains(".")
+    opening = F.lit(False)
+    for o in METADATA_OPENINGS:
+        opening = opening | x.startswith(o)
+    return (x == "") | x.rlike(METADATA_LINE) | opening | (~stop & ((digit & (words < 40)) | (x.contains("&") & (words < 50)) | (digit & (commas >= 5))))
+
+
+def is_document_title(c: Column | str) -> Column:
+    """Whether a first heading may be the title of the whole document: no numbered, standard or publisher's heading."""
+    x = squash(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
+    low = F.lower(x)
+    no = (x == "") | low.isin("abstract", "keywords") | is_reference_heading(x) | x.rlike(r"(?i)^(?:section\s+)?\d+(?:\.\d+)*\s+") | low.rlike(r"^(?:appendix|appendices|acknowledg?ements?|introduction|conclusion|related work)\b")
+    for phrase in NOISE_PHRASES:
+        no = no | low.contains(phrase)
+    return ~no
+
+
+def without_contained(values: Column | str) -> Column:
+    """The different strings of an array that are in no other one of it, letter case aside, in order."""
+    v = F.array_distinct(F.filter(F.transform(F.col(values) if isinstance(values, str) else values, squash), lambda x: F.coalesce(x, F.lit("")) != ""))
+    return F.filter(v, lambda x: ~F.exists(v, lambda y: (F.lower(x) != F.lower(y)) & F.lower(y).contains(F.lower(x))))
+
+
+def present_fields(fields: dict[str, Column | str]) -> Column:
+    """Names of the fields that are not blank, in order."""
+    return F.array_compact(F.array(*[F.when(F.trim(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))) != "", F.lit(n)) for n, c in fields.items()]))
+
+
+def overall_progress(stage: Column | str, done: Column | str, total: Column | str) -> Column:
+    """Share of a whole search that is done: stages before this one and the part of it; "completed" is 1, others 0."""
+    as_col = lambda c: F.col(c) if isinstance(c, str) else c
+    place = F.array_position(F.array(*[F.lit(x) for x in STAGES]), as_col(stage))
+    part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.when(as_col(total) > 0, as_col(done) / as_col(total)), F.lit(0.0))))
+    return F.when(as_col(stage) == "completed", 1.0).when(F.coalesce(place, F.lit(0)) > 0, (place - 1 + part) / len(STAGES)).otherwise(0.0)

@@ -28,6 +28,23 @@ def metrics(ranks: DataFrame) -> DataFrame:
     )
 
 
+def outcome_metrics(records: DataFrame) -> DataFrame:
+    """(topic, n, n_completed, n_failed, hit_at_k, mrr, satisfied, partial_or_better, avg_latency), over all and per topic.
+
+    records: (topic, job_status, target_rank, target_bucket, latency). Shares are of completed jobs, 0 without one;
+    the mean latency leaves out unknown ones.
+    """
+    done = F.col("job_status") == "completed"
+    share = lambda ok: F.coalesce(F.avg(F.when(done, F.when(ok, 1.0).otherwise(0.0))), F.lit(0.0))
+    r = F.col("target_rank")
+    aggs = [share(r <= k).alias(f"hit_at_{k}") for k in CUTS]
+    aggs += [F.coalesce(F.avg(F.when(done, F.coalesce(1.0 / r, F.lit(0.0)))), F.lit(0.0)).alias("mrr")]
+    aggs += [share(F.col("target_bucket") == "satisfied").alias("satisfied"), share(F.col("target_bucket").isin("satisfied", "partial")).alias("partial_or_better")]
+    aggs += [F.coalesce(F.avg(F.when(done, F.col("latency"))), F.lit(0.0)).alias("avg_latency")]
+    out = records.rollup("topic").agg(F.grouping("topic").alias("total"), F.count("*").alias("n"), F.count_if(done).alias("n_completed"), F.count_if(~F.coalesce(done, F.lit(False))).alias("n_failed"), *aggs)
+    return out.select(F.when(F.col("total") == 1, "all").otherwise(F.coalesce("topic", F.lit("none"))).alias("topic"), *[c for c in out.columns if c not in ("topic", "total")])
+
+
 def target_bucket(results: DataFrame, targets: DataFrame) -> DataFrame:
     """(query_id, target_bucket): the verdict group that holds the target, else not_returned."""
     held = results.select("query_id", F.col("paper_id").alias("target"), "verdict")

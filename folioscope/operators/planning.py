@@ -70,3 +70,18 @@ def constraints(query: Column | str) -> Column:
     phrases = F.filter(F.transform(F.regexp_extract_all(q, F.lit(r"[\"“]([^\"”]{2,80})[\"”]"), F.lit(1)), T.squash), lambda p: p != "")
     excluded = F.transform(F.regexp_extract_all(q, F.lit(r"(?i)\b(?:not|without|except|excluding)\s+([\p{L}\d-]+)"), F.lit(1)), lambda w: F.lower(w))
     return F.struct(pick(VENUES).alias("venues"), years.alias("years"), pick(TRACKS).alias("tracks"), phrases.alias("phrases"), F.array_distinct(excluded).alias("excluded"), T.section_priors(q).alias("priors"))
+
+
+def constraint_graph(question: Column | str, c: Column | str) -> Column:
+    """struct<root_operator, operators, nodes>: the constraints of a question as numbered nodes of a conjunction.
+
+    c: the struct constraints() gives. Scopes come first, then the wanted section kinds, which weigh 0.8.
+    """
+    q = F.lower(F.col(question) if isinstance(question, str) else question)
+    c = F.col(c) if isinstance(c, str) else c
+    node = lambda kind, weight, scope: lambda v: F.struct(F.lit(kind).alias("kind"), v.cast("string").alias("value"), F.lit(weight).alias("weight"), F.lit(scope).alias("scope"))
+    lists = [(c["venues"], "scope", 1.0, "venue"), (c["years"], "scope", 1.0, "year"), (c["tracks"], "scope", 1.0, "track"), (c["priors"], "section", 0.8, "prior")]
+    flat = F.concat(*[F.transform(F.filter(values, lambda v: v.isNotNull() & (v.cast("string") != "")), node(kind, weight, scope)) for values, kind, weight, scope in lists])
+    nodes = F.transform(flat, lambda n, i: F.struct(F.concat_ws("_", n["kind"], (i + 1).cast("string")).alias("node_id"), n["kind"].alias("kind"), n["value"].alias("value"), n["weight"].alias("weight"), n["scope"].alias("scope")))
+    operators = F.array_compact(F.array(F.when(q.rlike(r"\bor\b"), "or"), F.when(q.rlike(r"\b(?:not|without|except)\b"), "not")))
+    return F.struct(F.lit("and").alias("root_operator"), operators.alias("operators"), nodes.alias("nodes"))

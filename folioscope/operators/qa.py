@@ -56,6 +56,16 @@ def competition_signal(scores: DataFrame, question: str) -> DataFrame:
     return out.select(question, "hypothesis_id", "support", (F.col("support") - F.col("other")).alias("margin_vs_next"), F.col("other_id").alias("strongest_competitor"))
 
 
+def competition_outcome(scores: DataFrame, question: str, top_k: int = 3) -> DataFrame:
+    """competition_signal() with discriminative_score and conflicting_score, the mean margins of the `top_k` pieces of
+    evidence of either kind; 0 without one."""
+    out = competition_signal(scores, question)
+    for mode in ("discriminative", "conflicting"):
+        m = competition_evidence(scores, question, mode, top_k).groupBy(question, "hypothesis_id").agg(F.avg("margin").alias(f"{mode}_score"))
+        out = out.join(m, [question, "hypothesis_id"], "left")
+    return out.fillna(0.0, ["discriminative_score", "conflicting_score"])
+
+
 def ungrounded(cited: DataFrame, pack: DataFrame) -> DataFrame:
     """Citations outside the evidence pack of their hypothesis; must be empty."""
     return cited.join(pack.select("hypothesis_id", "evidence_id").distinct(), ["hypothesis_id", "evidence_id"], "left_anti")

@@ -176,6 +176,12 @@ def best_passage(passages: DataFrame, scores: DataFrame, parents: DataFrame, que
     return every.join(best, [query_key, parent], "left").withColumn("score", F.coalesce("score", F.lit(float("-inf"))))
 
 
+def full_ranking(scores: DataFrame, parents: DataFrame, queries: DataFrame, query_key: str, key: str) -> DataFrame:
+    """(query_key, key, score, rank): every parent for every stated query, 0 where it has no score; ties by id."""
+    every = parents.select(key).distinct().join(bounded_broadcast(queries.select(query_key).distinct()), F.lit(True))
+    return rank_within(every.join(scores, [query_key, key], "left").withColumn("score", F.coalesce("score", F.lit(0.0))), [query_key], "score", key)
+
+
 def post_limit_scope(ranked: DataFrame, allowed: DataFrame, key: str, limit: int) -> DataFrame:
     """Rank globally, cut, and only then drop what is out of scope: the semi-join stays above the window."""
     return ranked.where(F.col("rank") <= limit).join(allowed.select(key), key, "left_semi")

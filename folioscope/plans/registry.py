@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.plans import analytics, integrity, records, retrieval, views
+from folioscope.plans import analytics, evidence, integrity, records, retrieval, views
 
-MODULES = (retrieval, records, analytics, views, integrity)
+MODULES = (retrieval, records, evidence, analytics, views, integrity)
 
 
 def queries() -> dict:

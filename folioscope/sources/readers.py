@@ -157,13 +157,18 @@ def nested_qa_benchmark(docs: DataFrame) -> DataFrame:
 
 def layout_blocks(files: DataFrame) -> DataFrame:
     """(paper_id, ordinal, page_idx, block_type, text, bbox) of layout documents (paper_id, json)."""
-    schema = "pdf_info array<struct<page_idx int, para_blocks array<struct<type string, text string, bbox array<double>>>>>"
+    from folioscope.sources.markup import nested_text
+
+    # a block is kept as JSON text: where its own text stands differs by type
+    schema = "pdf_info array<struct<page_idx int, para_blocks array<string>>>"
     pages = files.select("paper_id", F.explode(F.from_json("json", schema)["pdf_info"]).alias("p"))
     blocks = pages.select("paper_id", (F.col("p.page_idx") + 1).alias("page_idx"), F.posexplode("p.para_blocks").alias("n", "b"))
-    kind = X.block_type("b.type")
+    box = F.from_json(F.get_json_object("b", "$.bbox"), "array<double>")
+    blocks = blocks.select("*", F.get_json_object("b", "$.type").alias("type"), F.when(F.size(box) >= 4, F.slice(box, 1, 4)).otherwise(F.array().cast("array<double>")).alias("bbox"))
+    kind = X.block_type("type")
     kept = blocks.where(~kind.isin("discarded", "abandon", "header", "footer", "page_number", "page_header", "page_footer", "footnote"))
     w = Window.partitionBy("paper_id").orderBy("page_idx", "n")
-    return kept.select("paper_id", (F.row_number().over(w) - 1).alias("ordinal"), "page_idx", kind.alias("block_type"), X.squash("b.text").alias("text"), F.col("b.bbox").alias("bbox"))
+    return kept.select("paper_id", (F.row_number().over(w) - 1).alias("ordinal"), "page_idx", kind.alias("block_type"), nested_text("b").alias("text"), "bbox")
 
 
 def markdown_sections(docs: DataFrame, key: str, markdown: str, stop: list[str] = ("references", "bibliography", "acknowledgements", "acknowledgments")) -> DataFrame:
