@@ -142,12 +142,12 @@ def hybrid_retrieval(s: SparkSession, d: str) -> DataFrame:
     q = _questions(s, d)
     sparse = R.bm25(papers, "paper_id", T.ascii_tokens(F.concat_ws("\n", "title", "abstract", "text")), q, "item_id", T.ascii_tokens("query"))
     encode = hashed_encoder()
-    dense = R.dense(chunks.withColumn("v", encode(F.concat_ws("\n", "heading", "text"))), "chunk_id", "v", q.withColumn("qv", encode("query")), "item_id", "qv")
+    dense = R.dense(chunks.withColumn("v", encode(F.concat_ws("\n", "heading", "text"))), "chunk_id", "v", q.withColumn("qv", encode("query")), "item_id", "qv").withColumn("score", F.round("score", 6))
     a = R.best_passage(chunks, dense, papers, "item_id", "chunk_id", "paper_id", q)
-    b = a.select("item_id", "paper_id").join(sparse, ["item_id", "paper_id"], "left").select("item_id", "paper_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.lit(None).cast("string").alias("chunk_id"))
+    b = a.select("item_id", "paper_id").join(sparse, ["item_id", "paper_id"], "left").select("item_id", "paper_id", F.round(F.coalesce("score", F.lit(0.0)), 5).alias("score"), F.lit(None).cast("string").alias("chunk_id"))
     both = R.rank_within(b, ["item_id"], "score", "paper_id").withColumn("ranking", F.lit(0)).unionByName(R.rank_within(a.select(*b.columns), ["item_id"], "score", "paper_id").withColumn("ranking", F.lit(1)))
     fused = R.rrf_with_passage(both, ["item_id"], "paper_id", "ranking", "chunk_id")
-    return R.rank_within(fused, ["item_id"], "score", "paper_id", 20).withColumn("score", F.round("score", 9))
+    return R.rank_within(fused.withColumn("score", F.round("score", 12)), ["item_id"], "score", "paper_id", 20).withColumn("score", F.round("score", 9))
 
 
 def rank_in_group(s: SparkSession, d: str) -> DataFrame:
