@@ -21,8 +21,11 @@ Reranker = Callable[[Column, Column], Column]
 Verifier = Callable[[DataFrame], DataFrame]
 
 
-def hashed_encoder(dim: int = 128) -> Encoder:
-    """Unit vectors of hashed token counts: a token adds 1 at its SHA-256 prefix mod dim; null gives zeros."""
+def hashed_encoder(dim: int = 128, unit: bool = True) -> Encoder:
+    """Vectors of hashed token counts: a token adds 1 at its SHA-256 prefix mod dim; null gives zeros.
+
+    unit: scaled to length 1. Where a cosine follows anyway, counts are exact and the scaled ones rounded.
+    """
 
     def encode(texts: pd.Series) -> pd.Series:
         slots: dict[str, int] = {}
@@ -34,7 +37,7 @@ def hashed_encoder(dim: int = 128) -> Encoder:
                     slots[w] = int(hashlib.sha256(w.encode()).hexdigest()[:8], 16) % dim
                 v[slots[w]] += 1
             n = float(np.linalg.norm(v))
-            out.append(v / n if n else v)
+            out.append(v / n if n and unit else v)
         return pd.Series(out)
 
     return F.pandas_udf(encode, "array<float>")

@@ -94,7 +94,7 @@ def buckets(hypotheses: DataFrame, rows: DataFrame, encoder: Encoder | None = No
     The local bucket leaves out everything preselected globally, also what is not returned. The first k of a
     bucket are returned; all scores stay, since competition looks at them.
     """
-    encoder = encoder or hashed_encoder()
+    encoder = encoder or hashed_encoder(unit=False)
     broad, local = preferred_types("relation", "preferred_types")
     h = hypotheses.select("hypothesis_id", "paper_id", "query", broad.alias("_broad"), local.alias("_local"), T.tokens("query").alias("_query"), encoder(F.col("query")).alias("_qv"))
     r = rows.select("paper_id", "evidence_id", "evidence_type", "heading", "search_text", T.tokens("search_text").alias("_tokens"), encoder(F.col("search_text")).alias("_v"))

@@ -122,9 +122,14 @@ def pa_type(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+def steady(df: DataFrame, score: str) -> Column:
+    """A score as rankings compare it: sums of doubles differ in their last bits with the order of partitions."""
+    return F.round(score, 9) if dict(df.dtypes)[score] in ("double", "float") else F.col(score)
+
+
 def rank_within(df: DataFrame, by: list[str], score: str, key: str, limit: int | None = None) -> DataFrame:
     """Adds rank from 1 by falling score, key on ties; limit is pushed into the window by Catalyst."""
-    w = Window.partitionBy(*by).orderBy(F.desc(score), F.asc(key))
+    w = Window.partitionBy(*by).orderBy(steady(df, score).desc(), F.asc(key))
     out = df.withColumn("rank", F.row_number().over(w))
     return out.where(F.col("rank") <= limit) if limit else out
 

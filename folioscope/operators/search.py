@@ -49,7 +49,7 @@ class Index:
 
 @dataclass
 class Models:
-    encoder: Encoder = field(default_factory=hashed_encoder)
+    encoder: Encoder = field(default_factory=lambda: hashed_encoder(unit=False))
     reranker: Reranker = zero_reranker
     verifier: Verifier = field(default_factory=threshold_verifier)
 
@@ -254,9 +254,18 @@ def identity_plan(plan: Plan) -> Plan:
     return Plan(plan.queries.where("kind = 'global'"), plan.terms.where(F.lit(False)), plan.buckets.where(F.lit(False)))
 
 
-def search(plan: Plan, index: Index, allowed: DataFrame, models: Models | None = None, profile: str = "full", top_k: int = TOP_K) -> DataFrame:
-    """Final results of every plan. Profiles: full, no_planner, no_content_refinement, no_verifier."""
-    models = models or Models()
+@dataclass
+class Stages:
+    """What a search decides on its way; narrowed is null where a profile leaves that out."""
+
+    pool: DataFrame
+    narrowed: DataFrame | None
+    evidence: DataFrame
+    short: DataFrame
+
+
+def run_stages(plan: Plan, index: Index, allowed: DataFrame, models: Models, profile: str = "full") -> Stages:
+    """All stages before the final verdicts, each laid down."""
     if profile == "no_planner":
         plan = identity_plan(plan)
     plan = Plan(cut(plan.queries), cut(plan.terms), cut(plan.buckets))
@@ -265,11 +274,17 @@ def search(plan: Plan, index: Index, allowed: DataFrame, models: Models | None =
     if profile == "no_content_refinement":
         n = R.normalise(pool, ["plan_id"], "coarse", "pre_score")
         short = R.rank_within(n.select("plan_id", "paper_id", "coarse", "pre_score"), ["plan_id"], "pre_score", "paper_id", SHORTLIST)
-    else:
-        narrowed = cut(narrow_sections(plan, index, pool, models))
-        evidence = cut(assemble_evidence(plan, index, narrowed, models))
-        # laid down before a verifier that may call out: a retried task repeats no call before it
-        short = cut(shortlist(plan, pool, narrowed, evidence))
+        return Stages(pool, None, global_evidence(plan, index, pool, models), short)
+    narrowed = cut(narrow_sections(plan, index, pool, models))
+    evidence = cut(assemble_evidence(plan, index, narrowed, models))
+    # laid down before a verifier that may call out: a retried task repeats no call before it
+    return Stages(pool, narrowed, evidence, cut(shortlist(plan, pool, narrowed, evidence)))
+
+
+def search(plan: Plan, index: Index, allowed: DataFrame, models: Models | None = None, profile: str = "full", top_k: int = TOP_K) -> DataFrame:
+    """Final results of every plan. Profiles: full, no_planner, no_content_refinement, no_verifier."""
+    models = models or Models()
+    short = run_stages(plan, index, allowed, models, profile).short
     return final_results(short, None if profile == "no_verifier" else models.verifier, top_k)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import squash
+from folioscope.operators.ranking import steady
 
 
 def scope(df: DataFrame, venues: list[str] = (), years: list[int] = (), tracks: list[str] = ()) -> DataFrame:
@@ -40,7 +41,7 @@ def trim(df: DataFrame, by: list[str], keep: Column, score: str, key: str, top_k
 
 def verdict_top(df: DataFrame, by: list[str], score: str, key: str, top_k: int) -> DataFrame:
     """The top_k rows of each verdict."""
-    w = Window.partitionBy(*by, "verdict").orderBy(F.desc(score), F.asc(key))
+    w = Window.partitionBy(*by, "verdict").orderBy(steady(df, score).desc(), F.asc(key))
     return df.withColumn("verdict_rank", F.row_number().over(w)).where(F.col("verdict_rank") <= top_k)
 
 

@@ -271,6 +271,27 @@ def search_no_verifier(s: SparkSession, d: str) -> DataFrame:
     return _search(s, d, "no_verifier")
 
 
+def _stages(s: SparkSession, d: str, profile: str = "full") -> S.Stages:
+    index = S.make_index(table(s, d, "papers"), table(s, d, "sections"), table(s, d, "chunks"))
+    return S.run_stages(_plan(s, d), index, index.papers.select("paper_id"), S.Models(), profile)
+
+
+def search_candidates(s: SparkSession, d: str) -> DataFrame:
+    return _stages(s, d).pool.select("plan_id", "paper_id", F.round("coarse", 6).alias("coarse"), "rank")
+
+
+def search_sections(s: SparkSession, d: str) -> DataFrame:
+    return _stages(s, d).narrowed.select("plan_id", "paper_id", "section_id", F.round("score", 6).alias("score"))
+
+
+def search_evidence(s: SparkSession, d: str) -> DataFrame:
+    return _stages(s, d).evidence.select("plan_id", "paper_id", "bucket_id", "chunk_id", "source_query", F.round("score", 6).alias("score"), "rank")
+
+
+def search_unrefined_evidence(s: SparkSession, d: str) -> DataFrame:
+    return _stages(s, d, "no_content_refinement").evidence.select("plan_id", "paper_id", "bucket_id", "chunk_id", "source_query", F.round("score", 6).alias("score"), "rank")
+
+
 def author_front_matter(s: SparkSession, d: str) -> DataFrame:
     """Affiliation of every author of the extracted headers, names squashed, by position."""
     h = O.latest(table(s, d, "header_results").select("paper_id", "authors_structured", "extracted_at"), "paper_id", "extracted_at")
@@ -284,7 +305,7 @@ QUERIES = {
         scope_semi_join, scope_filter, scope_intersection, missing_ids, library_filter, catalogue, eligible_passages, verdict_topk, display_fill, evidence_trim, best_query_per_item, history_window,
         hit_mrr_rollup, target_rank, target_bucket, majority_vote, qrels_export, competition_margin, discriminative_evidence, conflicting_evidence, grounding_check, final_decisions, build_counters, backend_histogram,
         token_cost, vector_provenance, merged_bundles, release_fingerprints, bibtex_export, ris_export, late_papers, latest_progress, retention, hourly_activity, user_sessions, stream_ingest,
-        search_full, search_no_planner, search_no_content_refinement, search_no_verifier, author_front_matter,
+        search_full, search_no_planner, search_no_content_refinement, search_no_verifier, search_candidates, search_sections, search_evidence, search_unrefined_evidence, author_front_matter,
     )
 }
 

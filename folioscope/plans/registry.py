@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.plans import analytics, equivalents, evidence, integrity, records, retrieval, views
+from folioscope.plans import analytics, equivalents, evidence, integrity, records, retrieval, search_sql, views
 
-MODULES = (retrieval, records, evidence, analytics, views, integrity, equivalents)
+MODULES = (retrieval, records, evidence, analytics, views, integrity, equivalents, search_sql)
 
 
 def queries() -> dict:

@@ -141,7 +141,7 @@ def hybrid_retrieval(s: SparkSession, d: str) -> DataFrame:
     chunks = latest(table(s, d, "chunks").select("chunk_id", "paper_id", "heading", "text", "ingested_at"), "chunk_id", "ingested_at").where(F.length(F.trim("text")) >= 20)
     q = _questions(s, d)
     sparse = R.bm25(papers, "paper_id", T.ascii_tokens(F.concat_ws("\n", "title", "abstract", "text")), q, "item_id", T.ascii_tokens("query"))
-    encode = hashed_encoder()
+    encode = hashed_encoder(unit=False)
     dense = R.dense(chunks.withColumn("v", encode(F.concat_ws("\n", "heading", "text"))), "chunk_id", "v", q.withColumn("qv", encode("query")), "item_id", "qv").withColumn("score", F.round("score", 6))
     a = R.best_passage(chunks, dense, papers, "item_id", "chunk_id", "paper_id", q)
     b = a.select("item_id", "paper_id").join(sparse, ["item_id", "paper_id"], "left").select("item_id", "paper_id", F.round(F.coalesce("score", F.lit(0.0)), 5).alias("score"), F.lit(None).cast("string").alias("chunk_id"))
