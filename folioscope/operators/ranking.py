@@ -109,7 +109,7 @@ def dense(docs: DataFrame, key: str, vector: str, queries: DataFrame, query_key:
                     s = (part / (np.linalg.norm(part, axis=1, keepdims=True) + 1e-12)) @ m.T
                     keep = np.ones(s.shape, bool)
                     if top and len(s) > top:
-                        keep = s >= -np.partition(-s, top - 1, axis=0)[top - 1]
+                        keep = s >= -np.partition(-s, top - 1, axis=0)[top - 1] - 2e-9  # a tie to rankings
                     r, c = np.nonzero(keep)
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(c)), keys.take(pa.array(r + lo)), pa.array(s[r, c])], names=[query_key, key, "score"])
 
