@@ -234,17 +234,22 @@ def evidence_scores(heading: Column | str, path: Column | str, text: Column | st
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     head = F.lower(squash(F.concat_ws(" ", as_col(heading), as_col(path))))
     body = F.lower(squash(F.coalesce(as_col(text), F.lit(""))))
-    entries = []
-    for name, (in_heading, in_text) in EVIDENCE_CUES.items():
-        hit = F.lit(False)
-        for cue in in_heading:
-            hit = hit | head.contains(cue)
-        n = sum((body.contains(cue).cast("int") for cue in in_text), F.lit(0))
-        score = F.when(hit, 0.55).otherwise(0.0) + F.least(F.lit(0.45), n * 0.15)
-        if name == "appendix":
-            score = F.when(head.contains("appendix") | head.contains("supplementary"), F.greatest(score, F.lit(0.9))).otherwise(score)
-        entries.append(F.struct(F.lit(name).alias("k"), F.round(F.least(score, F.lit(1.0)), 4).alias("v")))
-    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["v"] > 0))
+
+    def scored(x: Column) -> Column:
+        entries = []
+        for name, (in_heading, in_text) in EVIDENCE_CUES.items():
+            hit = F.lit(False)
+            for cue in in_heading:
+                hit = hit | x["h"].contains(cue)
+            n = sum((x["b"].contains(cue).cast("int") for cue in in_text), F.lit(0))
+            score = F.when(hit, 0.55).otherwise(0.0) + F.least(F.lit(0.45), n * 0.15)
+            if name == "appendix":
+                score = F.when(x["h"].contains("appendix") | x["h"].contains("supplementary"), F.greatest(score, F.lit(0.9))).otherwise(score)
+            entries.append(F.struct(F.lit(name).alias("k"), F.round(F.least(score, F.lit(1.0)), 4).alias("v")))
+        return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["v"] > 0))
+
+    # bound to a lambda variable, so that a text is squashed and lowered once and not once a cue
+    return F.element_at(F.transform(F.array(F.struct(head.alias("h"), body.alias("b"))), scored), 1)
 
 
 def evidence_types(scores: Column | str, threshold: float = 0.35) -> Column:
