@@ -59,7 +59,7 @@ def ball_keys(fps: np.ndarray) -> np.ndarray:
     place = np.arange(seg.shape[1], dtype=np.uint64)
     keys = []
     for gap in range(SEGMENT):
-        h = np.broadcast_to(np.uint64(gap + 1) * np.uint64(0xD6E8FEB86659FD93) + place, seg.shape[:2])
+        h = np.broadcast_to(place + np.full(len(place), gap + 1, np.uint64) * np.uint64(0xD6E8FEB86659FD93), seg.shape[:2])
         for j in range(SEGMENT):
             if j != gap:
                 h = mix(h ^ seg[:, :, j])
