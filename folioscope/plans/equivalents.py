@@ -63,6 +63,21 @@ _RIS = f"list_concat(list_concat(['TY  - CONF', {_TAG('TI', sql_squash('title'))
 _TYPED = f"(SELECT c.paper_id, c.chunk_id, c.heading AS section_title, s.section_path, c.text FROM {_CHK} c LEFT JOIN {_SEC} s USING (section_id))"
 _INTRO = evidence.ORACLE["intro_summaries"].split(" SELECT paper_id, md5(")[0].removeprefix("WITH ")
 
+# abstracts: what follows the mark, up to the next part or the end, between 40 and 3000 characters
+_BODY = sql_squash("coalesce(text, '')")
+_WORDS = lambda c: f"len(list_filter(string_split({c}, ' '), lambda w: w <> ''))"
+_FORM = "upper(" + sql_squash("regexp_replace(section_title, '^[\\s#■▪•*]*(?:\\d+(?:\\.\\d+)*\\.?\\s+)?', '')") + ")"
+_ABSTRACTS = f"""WITH s0 AS (SELECT paper_id, ordinal, {_BODY} AS b, {_FORM} AS h FROM {_SEC}),
+s1 AS (SELECT *, regexp_extract(b, '(?i)^.*?\\babstract\\b\\s*[:.—-]+\\s*', 0) AS lead FROM s0 WHERE b <> ''),
+s2 AS (SELECT *, CASE WHEN lead <> '' THEN substr(b, length(lead) + 1) ELSE '' END AS rest FROM s1),
+s3 AS (SELECT *, regexp_matches(substr(rest, 41), '(?i)\\b(?:introduction|keywords)\\b') AS named, 40 + length(regexp_extract(substr(rest, 41), '(?i)^(.*?)\\b(?:introduction|keywords)\\b', 1)) AS upto FROM s2),
+s4 AS (SELECT *, trim(CASE WHEN length(rest) < 40 THEN '' WHEN named AND upto <= 3000 THEN substr(rest, 1, upto) WHEN length(rest) <= 3000 THEN rest ELSE '' END) AS i FROM s3),
+hit AS (SELECT paper_id, arg_min(CASE WHEN contains(h, 'ABSTRACT') THEN [b, 'section.abstract'] ELSE [i, 'section.inline_abstract'] END, ordinal) AS hit FROM s4 WHERE contains(h, 'ABSTRACT') OR {_WORDS('i')} >= 20 GROUP BY paper_id),
+intro AS (SELECT paper_id, {evidence._short("arg_min(b, ordinal)", 1200)} AS t FROM s4 WHERE contains(h, 'INTRODUCTION') GROUP BY paper_id),
+j AS (SELECT paper_id, {sql_squash("coalesce(abstract, '')")} AS own, substr({_BODY}, 1, 2000) AS head, hit, t FROM {_PAP} LEFT JOIN hit USING (paper_id) LEFT JOIN intro USING (paper_id)),
+x AS (SELECT CASE WHEN {_WORDS('own')} >= 20 THEN [own, 'paper_record.abstract'] WHEN hit IS NOT NULL THEN hit WHEN {_WORDS("coalesce(t, '')")} >= 20 THEN [t, 'paper_record.intro_summary'] ELSE [head, 'paper_record.text_prefix'] END AS v FROM j)
+SELECT v[2] AS abstract_source, count(*) AS n, sum(length(v[1]))::BIGINT AS n_chars FROM x GROUP BY ALL"""
+
 #: Cosine of hashed token counts of every question with every chunk of at least 20 characters.
 _HYBRID = f"""WITH {evidence._BM25},
 chk AS (SELECT chunk_id, paper_id, concat_ws(chr(10), heading, text) AS t FROM {_CHK} WHERE length(trim(text)) >= 20), qs AS (SELECT item_id, text AS t FROM eval_items WHERE kind = 'question'),
@@ -109,6 +124,7 @@ array_to_string(list_transform({_NODES}, lambda n, i: n[1] || '_' || i || '=' ||
     + f""", {_INTRO}, ty AS (SELECT paper_id, string_agg(trim(repeat(replace(evidence_type, '_', ' ') || ' evidence ', least(3, n)::INT)), ' ' ORDER BY evidence_type) AS types FROM (SELECT paper_id, evidence_type, count(*) AS n FROM allscores WHERE score >= 0.35 GROUP BY ALL) GROUP BY paper_id),
 hd AS (SELECT paper_id, string_agg(section_title, ' ' ORDER BY ordinal, section_id) AS heads FROM {_SEC} GROUP BY paper_id)
 SELECT p.paper_id, md5({evidence._join("' '", "p.title", "p.abstract", "heads", evidence._short("t.t", 1200), "array_to_string(p.keywords, ' ')", "types")}) AS text_md5 FROM {_PAP} p LEFT JOIN t USING (paper_id) LEFT JOIN hd USING (paper_id) LEFT JOIN ty USING (paper_id)""",
+    "abstract_sources": _ABSTRACTS,
     "hybrid_retrieval": _HYBRID,
     "nearest_supplements": _NEAR,
 }
