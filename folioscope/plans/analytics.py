@@ -85,7 +85,7 @@ def history_window(s: SparkSession, d: str) -> DataFrame:
 
 def _ranks(s: SparkSession, d: str) -> DataFrame:
     """Displayed: the ten longest documents of a source and language; target: the one with the smallest id."""
-    docs = table(s, d, "documents").where("source IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL")
+    docs = table(s, d, "documents").fillna("none", ["source", "lang"]).fillna(0, ["n_chars"])
     docs = docs.select(F.concat_ws("/", "source", "lang").alias("query_id"), F.col("source").alias("topic"), F.col("doc_id").alias("paper_id"), "n_chars")
     shown = rank_within(docs, ["query_id"], "n_chars", "paper_id", 10).select("query_id", "paper_id", F.col("rank").alias("display_rank"))
     targets = docs.groupBy("query_id", "topic").agg(F.min("paper_id").alias("target"))
@@ -312,7 +312,7 @@ QUERIES = {
 _PAP = "(SELECT * FROM papers QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY ingested_at DESC) = 1)"
 _VERD = "SELECT o_orderpriority AS plan_id, o_orderkey AS paper_id, CASE o_orderstatus WHEN 'F' THEN 'satisfied' WHEN 'O' THEN 'partial' ELSE 'rejected' END AS verdict, o_totalprice AS final_score FROM orders"
 _VTOP = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, verdict ORDER BY final_score DESC, paper_id) AS verdict_rank FROM ({_VERD})) WHERE verdict_rank <= 10"
-_RANKS = """WITH d AS (SELECT source || '/' || lang AS query_id, source AS topic, doc_id, n_chars FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL),
+_RANKS = """WITH d AS (SELECT coalesce(source, 'none') || '/' || coalesce(lang, 'none') AS query_id, coalesce(source, 'none') AS topic, doc_id, coalesce(n_chars, 0) AS n_chars FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, doc_id) AS rk FROM d), t AS (SELECT query_id, topic, min(doc_id) AS target FROM d GROUP BY ALL),
 ranks AS (SELECT t.query_id, t.topic, t.target, r.rk AS target_rank FROM t LEFT JOIN r ON r.query_id = t.query_id AND r.doc_id = t.target AND r.rk <= 10) """
 _READ = "SELECT user_id, event_type AS hypothesis_id, strftime(ts, '%H') AS evidence_id, round(sum(coalesce(value, 0)) / 100, 6) AS score FROM events GROUP BY ALL"

@@ -129,7 +129,7 @@ def paper_statistics(s: SparkSession, d: str) -> DataFrame:
 
 
 def overlap_dedupe(s: SparkSession, d: str) -> DataFrame:
-    u = table(s, d, "evidence_units").where("page_start <= page_end").dropDuplicates(["evidence_id"])
+    u = table(s, d, "evidence_units").dropDuplicates(["evidence_id"])
     return O.overlap_duplicates(u, ["paper_id"], "evidence_id", "text", "page_start", "page_end").select("evidence_id", "paper_id")
 
 
@@ -319,7 +319,7 @@ round(10.0 + CASE WHEN trim(coalesce(caption, '')) <> '' THEN 3.0 ELSE 0 END + g
     "keyword_topk": f"""WITH t AS (SELECT paper_id, unnest({sql_tokens('abstract')}) AS term, generate_subscripts({sql_tokens('abstract')}, 1) AS pos FROM {_PAP})
 SELECT * FROM (SELECT paper_id, term, count(*) AS n, row_number() OVER (PARTITION BY paper_id ORDER BY count(*) DESC, min(pos)) AS rank FROM t GROUP BY paper_id, term) WHERE rank <= 12""",
     "paper_statistics": f"SELECT paper_id, max(page_idx) AS pages, count(*) FILTER (object_type = 'figure_block') AS figures, arg_min(image_path, (page_idx, ordinal, object_id)) FILTER (object_type = 'figure_block' AND image_path <> '') AS first_figure FROM {_OBJ} GROUP BY paper_id",
-    "overlap_dedupe": f"""WITH u AS (SELECT DISTINCT evidence_id, paper_id, page_start, page_end, lower({sql_squash('text')}) AS t FROM evidence_units WHERE page_start <= page_end)
+    "overlap_dedupe": f"""WITH u AS (SELECT DISTINCT evidence_id, paper_id, page_start, page_end, lower({sql_squash('text')}) AS t FROM evidence_units)
 SELECT evidence_id, paper_id FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE a.paper_id = b.paper_id AND a.evidence_id <> b.evidence_id AND a.page_start <= b.page_end AND b.page_start <= a.page_end AND contains(b.t, a.t) AND (length(b.t) > length(a.t) OR (a.t = b.t AND b.evidence_id < a.evidence_id)))""",
     "deduped_headings": f"SELECT DISTINCT paper_id, lower({sql_squash('section_title')}) AS heading FROM sections WHERE {sql_squash('section_title')} <> ''",
     "typed_evidence": _sql_evidence_scores(_SEC, "section_id") + "SELECT section_id, evidence_type, score, score >= 0.35 AS selected FROM allscores WHERE score > 0",
