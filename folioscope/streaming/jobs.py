@@ -62,7 +62,8 @@ def ingest(stream: DataFrame, key: str, path: str, checkpoint: str, transform: C
     """Runs what has arrived into a Parquet table exactly once per key and returns; a rerun takes only new files.
 
     Batches are idempotent: a batch number that was written before is overwritten, and ids already in
-    the table are left out by an anti-join.
+    the table are left out by an anti-join. Only ids between the batch's smallest and largest are read for that, so
+    files of other ranges are skipped by their statistics where ids grow with time.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -71,7 +72,8 @@ def ingest(stream: DataFrame, key: str, path: str, checkpoint: str, transform: C
         spark = batch.sparkSession
         fresh = transform(batch).dropDuplicates([key])
         if exists(spark, f"{path}/batch=*"):
-            old = spark.read.parquet(path).where(F.col("batch") != number).select(key)
+            low, high = fresh.agg(F.min(key), F.max(key)).first()
+            old = spark.read.parquet(path).where((F.col("batch") != number) & F.col(key).between(low, high)).select(key)
             fresh = fresh.join(old, key, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
