@@ -27,6 +27,7 @@ Null, empty and pure ASCII texts are never affected. Texts are taken whole; repe
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -69,6 +70,8 @@ def byte_of(codec: str) -> dict[str, int]:
 WRONG = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp1250")
 LEGACY = ("cp1251", "koi8_r", "gb18030", "cp932", "euc_jp", "big5", "euc_kr", "cp866")
 TABLES = {c: byte_of(c) for c in WRONG}
+#: The same with ASCII, as the character map encoder of the interpreter takes it.
+ENCODE = {c: {b: b for b in range(0x80)} | {ord(ch): b for ch, b in t.items()} for c, t in TABLES.items()}
 HIGH = {c: "".join(map(re.escape, t)) for c, t in TABLES.items()}
 THREE = {c: re.compile(f"[{h}]{{3}}") for c, h in HIGH.items()}
 STRETCH = {c: re.compile(f"[\\x20-\\x7e{h}]+") for c, h in HIGH.items()}
@@ -140,8 +143,7 @@ def stretches(text: str, codec: str = "cp1252") -> list[tuple[int, int]]:
 
 
 def stretch_candidates(text: str, wrong: str = "cp1252", rights: tuple[str, ...] = LEGACY) -> list[str]:
-    table = TABLES[wrong]
-    raw = bytes(ord(c) if c < "\x80" else table[c] for c in text)
+    raw = codecs.charmap_encode(text, "strict", ENCODE[wrong])[0]
     found: dict[str, None] = {}
     for codec in rights:
         try:
@@ -154,6 +156,8 @@ def stretch_candidates(text: str, wrong: str = "cp1252", rights: tuple[str, ...]
 def codes(text: str) -> np.ndarray:
     """Code points, ASCII reduced to context classes."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if text.isascii():
+        return CLASS[c]
     return np.where(c < 128, CLASS[np.minimum(c, 127)], c)
 
 
@@ -166,10 +170,19 @@ def capital(c: np.ndarray) -> np.ndarray:
     return np.where((c >= 0x430) & (c < 0x450), c - 32, np.where((c >= 0x450) & (c < 0x460), c - 80, c)).astype(np.uint32)
 
 
+def slots(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Table slots of bigrams."""
+    h = first.astype(np.uint64)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h += second.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(29)
+    h &= np.uint64(BI - 1)
+    return h.view(np.int64)
+
+
 def pair_slots(c: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Table slots of the bigrams that begin at the given places."""
-    h = c[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + c[at + 1].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return ((h ^ (h >> np.uint64(29))) % np.uint64(BI)).astype(np.int64)
+    return slots(c[at], c[at + 1])
 
 
 def see(c: str) -> str:
@@ -189,9 +202,12 @@ class Model:
         c = codes(text)
         if len(c) < 2:
             return 0.0
-        low = (self.uni[c[1:] % UNI] + self.alpha) / (self.total + self.alpha * UNI)
-        p = (self.bi[pair_slots(c, np.arange(len(c) - 1))] + self.weight * low) / (self.uni[c[:-1] % UNI] + self.weight)
-        return float(np.log(p).sum())
+        uni = self.uni[c & (UNI - 1)]
+        p = (uni[1:] + self.alpha) / (self.total + self.alpha * UNI)
+        p *= self.weight
+        p += self.bi[slots(c[:-1], c[1:])]
+        p /= uni[:-1] + self.weight
+        return float(np.log(p, out=p).sum())
 
     def caseless(self, text: str) -> float:
         """The score where Cyrillic letters count in either case: the counts of all their forms together."""
@@ -234,7 +250,12 @@ class Repairer:
         return self.model.score(b + new + a) - self.model.score(b + old + a)
 
     def best(self, before: str, old: str, options: Iterable[str], after: str) -> tuple[float, str]:
-        return max(((self.gain(before, old, new, after), new) for new in options), default=(0.0, old))
+        options = list(options)
+        if not options:
+            return 0.0, old
+        b, a = before[-1:] or "\n", after[:1] or "\n"
+        stands = self.model.score(b + old + a)
+        return max((self.model.score(b + new + a) - stands, new) for new in options)
 
     def best_of_run(self, before: str, run: str, after: str) -> tuple[float, str]:
         """best() over the run's own candidates, remembered by what the model sees of the context."""
@@ -336,12 +357,16 @@ class Repairer:
 
 
 BACK = {c: {b: ch for ch, b in t.items()} for c, t in TABLES.items()}
+#: Character of each byte; U+FFFE stands for none.
+DECODE = {c: "".join(chr(b) if b < 0x80 else back.get(b, "\ufffe") for b in range(0x100)) for c, back in BACK.items()}
 
 
 def read_wrongly(raw: bytes, wrong: str) -> str | None:
     """The bytes as the wrong codec shows them; None when it can't hold them all."""
-    back = BACK[wrong]
-    return "".join(chr(b) if b < 0x80 else back[b] for b in raw) if all(b < 0x80 or b in back for b in raw) else None
+    try:
+        return codecs.charmap_decode(raw, "strict", DECODE[wrong])[0]
+    except UnicodeDecodeError:
+        return None
 
 
 def garble(run: str) -> Iterator[str]:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from folioscope.llm import mojibake as mb
@@ -95,3 +96,29 @@ def test_margins_by_kind(spark):
     for run in ("Реакция", "é", "₂"):
         g = mb.garble_twice(run)
         assert g is None or mb.run_candidates(g).get(run)
+
+
+def test_text_as_it_stands_is_scored_once():
+    class Counting(mb.Model):
+        calls = 0
+
+        def score(self, text):
+            self.calls += 1
+            return super().score(text)
+
+    rng = np.random.default_rng(3)
+    model = Counting(rng.integers(0, 50, mb.UNI).astype(float), rng.integers(0, 9, mb.BI).astype(float))
+    repair = mb.Repairer(model, dict.fromkeys(mb.KINDS, 2.0))
+    gain, new = repair.best("a", "Ã©t", ["ét", "ýt", "žt"], "x")
+    assert model.calls == 4
+    assert (gain, new) == max((repair.gain("a", "Ã©t", n, "x"), n) for n in ("ét", "ýt", "žt"))
+    assert repair.best("a", "b", [], "c") == (0.0, "b") and model.calls == 10
+
+
+def test_wrong_readings_follow_the_byte_tables():
+    every = bytes(range(256))
+    for codec, back in mb.BACK.items():
+        for b in every:
+            assert mb.read_wrongly(bytes([b]), codec) == (chr(b) if b < 0x80 else back.get(b))
+        for c, b in mb.TABLES[codec].items():
+            assert mb.stretch_candidates("a" + c, codec, ("latin-1",)) == ([] if c == chr(b) else ["a" + chr(b)])
